@@ -195,6 +195,7 @@ def origins(files: DataFrame, repositories: DataFrame, least_share: float = LEAS
     within one repository counts once; files with an origin told by themselves are counted too, as they may be copies.
     """
     prof = _profiles(files).persist(StorageLevel.MEMORY_AND_DISK)
+    prof.count()  # the plan below reads it three times at once, and would make it three times were it not there
     name = repositories.select(F.col("id").alias("repo_id"), F.coalesce("repo_name", F.col("id").cast("string")).alias("project")).dropDuplicates(["repo_id"])
     each = prof.select("file_id", "repo_id", F.explode("prints").alias("fp"))
     spread = (
