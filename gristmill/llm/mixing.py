@@ -162,7 +162,8 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
 def mixture_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, rows_taken, tokens_taken, share_reached, most_repeats) of every source of the targets."""
     got = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("t")).groupBy("source").agg(F.sum("k").alias("rows_taken"), F.sum("t").alias("tokens_taken"), F.max("k").alias("most_repeats"))
-    total = got.agg(F.sum("tokens_taken").alias("all_tokens"))
-    t = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").join(F.broadcast(total))
+    # one row per source by now, so a frame over all of them is small
+    got = got.withColumn("all_tokens", F.sum("tokens_taken").over(Window.partitionBy(F.lit(1))))
+    t = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return t.select("source", "target_share", "max_repeats", zero("rows_taken"), zero("tokens_taken"), F.round(F.coalesce(F.col("tokens_taken") / F.col("all_tokens"), F.lit(0.0)), 6).alias("share_reached"), zero("most_repeats"))
