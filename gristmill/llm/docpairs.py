@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import grammar
 from gristmill.llm.parsing import language, python_tree, source_files
-from gristmill.llm.shapes import BAD, CLASSES, TOKENS, flat_templates, preprocessed
+from gristmill.llm.shapes import BAD, CLASSES, TOKENS, flat_templates, preprocessed, records
 
 # How a placeholder starts, and the names of sections: fixed values.
 _PLACEHOLDER = re.compile(
@@ -121,6 +121,8 @@ class Lexed:
         self.original = text
         if lang == "c":
             text = preprocessed(text)
+        elif lang == "java":
+            text = records(text)
         elif lang in ("js", "ts"):
             if "${" in text:
                 text = flat_templates(text)
@@ -179,7 +181,7 @@ def _java_functions(x: Lexed):
     for m in re.finditer(r"(?<=[a>\]v])a\(", s):
         i = m.start()
         j = match.get(i + 1, -1) + 1
-        if not j or x.token(i - 1) == "record":
+        if not j:
             continue
         while x.after(j) == "[":
             j = match[j] + 1

@@ -80,9 +80,9 @@ def _script(ts: bool) -> Grammar:
     names = rf"(?:a|A|{QM}|\*aa)(?:,(?:{QM}|\*aa))?"
     tsdecl = rf"|(?:a)*(?:aa(?:Xn?{ty}(?:,{ty})*)?n?{QI}n?|a[as](?:\.a)*n?{QB}|aa={ty}{end}|L?J a?n?{QE}|A?F\*?a{PD}{ret}{end}|{decl}{end}|{cls}|{fun})".replace("J a", "Ja") if ts else ""
     stmt = (
-        rf"(?:;|n|{QB}(?![.(])|I{PE}n*|H(?:{PE}|{PH})n*|Ha{PH}n*|E(?:n*)|D(?:n*)|a:n*|T n?{QB}(?:n?c{PD}?n?{QB}n?f n?{QB}|n?c{PD}?n?{QB}|n?f n?{QB})|S{PE}n?{QS}"
+        rf"(?:;|n|{QB}|I{PE}n*|H(?:{PE}|{PH})n*|Ha{PH}n*|E(?:n*)|D(?:n*)|a:n*|T n?{QB}(?:n?c{PD}?n?{QB}n?f n?{QB}|n?c{PD}?n?{QB}|n?f n?{QB})|S{PE}n?{QS}"
         rf"|{decl}{end}|A?F\*?a{PD}{ret}n?{QB}|{cls}|R{es}{end}|R{end}|Ba?{end}|g{end}"
-        rf"|i(?:a)?(?:s|{names}as)(?:a{QO})?{end}|x(?:d(?:{fun}|{cls}|{e}{end})|a?{QM}(?:as)?{end}|\*(?:aa)?as{end}|(?={'[LFCAaJ@]' if ts else '[LFCA@]'})n?)" + tsdecl + rf"|(?!F|C|L){es}{end})"
+        rf"|i(?:a)?(?:s|{names}as)(?:a{QO})?{end}|x(?:d(?:{fun}|{cls}|{e}{end})|a?{QM}(?:as)?{end}|\*(?:aa)?as{end}|(?={'[LFCAaJ@]' if ts else '[LFCA@]'})n?)" + tsdecl + rf"|(?![FCL]|{ANYQ}){es}{end})"
     ).replace(" ", "")
     key = rf"(?:{word}|s|0|{KE})"
     item = rf"n*(?:e{e}|{key}:n*{e}|(?:[aA]|\*)*{key}{PD}{ret}n?{QB}|[aAtr](?:={e})?)n*"
@@ -100,8 +100,8 @@ def _script(ts: bool) -> Grammar:
     brace = {1: rf"(?:{stmt})*+", 2: listed(item) + "n*", 4: rf"(?:{member})*+", 8: case, 16: listed(rf"n*(?:a|s)(?:={e})?n*") + "n*", 64: listed(spec) + "n*"}
     if ts:
         brace[32] = iface
-    cont = re.compile(r"n+(?=[.b=p?:w,*&<>;|XhE])|(?<=[.=b?:w,*&<>;(~!|eNyLXiFCAxkDETcf])n+|(?<=p)n+|^n+" if ts else r"n+(?=[.b=p?:w,*&<>;XE])|(?<=[.=b?:w,*&<>;(~!eNyLXiFCAxkDETcf])n+|(?<=p)n+|^n+")
-    generic = re.compile(rf"(?<=[aFA])<[a.,st0y|&?:=bXwn{P_SET}{K_SET}{Q_SET}]*>(?=[^a0s]|\Z)|^<[aX,=.|&]*>(?={ANYP})")
+    cont = re.compile(r"n+(?=[.b=p?:w,*&<>;|Xh])|(?<=[.=b?:w,*&<>;(~!|eNyLXiFCAxkDETcf])n+|(?<=p)n+|^n+" if ts else r"n+(?=[.b=p?:w,*&<>;X])|(?<=[.=b?:w,*&<>;(~!eNyLXiFCAxkDETcf])n+|(?<=p)n+|^n+")
+    generic = re.compile(rf"(?<=[aFA])<[a.,st0y|&?:=bXwn{P_SET}{K_SET}{Q_SET}]*>(?=[^a0s]|\Z)|^<[aX,=.|&]*>(?={ANYP})|(?<=Xa)<[a.,st0y|&?:=bXwn{P_SET}{K_SET}{Q_SET}]*>(?=a)")
 
     def prepare(s: str, kind: str) -> str:
         s = cont.sub("", s)
@@ -133,7 +133,7 @@ def _java() -> Grammar:
     es = rf"{e}(?:,{e})*+"
     init = rf"(?:=(?:{QO}|{e}))?"
     var = rf"{mods}{ty}a(?:{K0})*{init}(?:,a(?:{K0})*{init})*+"
-    clsh = rf"{mods}(?:@?Ca|aa{PD})(?:X{ty}(?:,{ty})*|a{ty}(?:,{ty})*)*"
+    clsh = rf"{mods}@?Ca(?:{PD})?(?:X{ty}(?:,{ty})*|a{ty}(?:,{ty})*)*"
     cls = rf"{clsh}(?:{QC}|{QE})"
     stmt = (
         rf"(?:;|{QB}|I{PE}|H(?:{PE}|{PH})|E|D|a:(?!:)|T(?:{PH}|{PE}|{PG})?{QB}(?:c{PD}{QB})*(?:f{QB})?|S{PE}{QS}|{var};|y{PE}{QB}|R{e}(?::{e})?;|R;|Ba?;|a{e};|{cls}|{es};)"
@@ -202,7 +202,7 @@ def _go() -> Grammar:
     imp = r"(?:[a.]?s)"
     fld = rf"(?:a(?:,a)*{ty}s?|\*?a(?:\.a)?(?:{KE})?s?|a{PD}{res}?|~?{ty}(?:b~?{ty})*)"
     paren = {1: rf"(?:(?:{e}|{ty})(?:,(?:{e}|{ty}))*+e?,?)?", 2: rf"(?:{par}(?:,{par})*+,?)?", 8: rf"{ty}|T", 16: rf"(?:(?:{imp}|{value}|{typ})?;)*+(?:{imp}|{value}|{typ})?"}
-    bracket = {1: rf"{e}|{e}?:{e}?(?::{e})?|{ty}(?:,{ty})*|a(?:,a)*~?{ty}(?:b~?{ty})*", 2: "|0|e"}
+    bracket = {1: rf"{e}|{e}?:{e}?(?::{e})?|{ty}(?:,{ty})*|a(?:,a)*~?{ty}(?:b~?{ty})*(?:,a(?:,a)*~?{ty}(?:b~?{ty})*)*,?", 2: "|0|e"}
     brace = {1: stmts, 2: rf"(?:{item}(?:,{item})*+,?)?;*", 8: case, 32: rf"(?:(?:{fld})?;)*+(?:{fld})?"}
     semi = re.compile(rf"(?<=[a0sRBq{P_SET}{K_SET}{Q_SET}])n+")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import grammar
 from gristmill.llm.parsing import language, python_tree, source_files
-from gristmill.llm.shapes import BAD, CLASSES, TOKENS, flat_templates, preprocessed
+from gristmill.llm.shapes import BAD, CLASSES, TOKENS, flat_templates, preprocessed, records
 
 RUN, PICK = 12, 12
 LEAST_SHARE, LEAST_REPOS = 0.7, 3
@@ -129,7 +129,7 @@ def made_kind(text: str, lang: str, path: str = "") -> tuple[str, list[str]] | N
             elif c.isalpha() or c == "_":
                 names += 1
     else:
-        src = preprocessed(text) if lang == "c" else flat_templates(text) if lang in ("js", "ts") and "${" in text else text
+        src = preprocessed(text) if lang == "c" else records(text) if lang == "java" else flat_templates(text) if lang in ("js", "ts") and "${" in text else text
         if lang in ("js", "ts") and src.startswith("#!"):
             src = "//" + src[2:]
         cls = CLASSES[lang]

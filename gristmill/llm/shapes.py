@@ -202,12 +202,22 @@ def flat_templates(text: str) -> str:
     return "".join(out) + (BAD if depth else "")
 
 
+_RECORD = re.compile(r"\brecord(?=\s+[A-Za-z_]\w*\s*(?:<[^{}()]*>)?\s*\([^{}]*\)\s*(?:implements\b|\{))")
+
+
+def records(text: str) -> str:
+    """Java text in which ``record`` is a class where it is no name; offsets stay."""
+    return _RECORD.sub("class ", text) if "record" in text else text
+
+
 def shape(text: str, lang: str) -> str:
     """The shape of a whole text, or of a chunk that begins in the state ``code``."""
     if text[:1] == "﻿":
         text = text[1:]
     if lang == "c":
         text = preprocessed(text)
+    elif lang == "java":
+        text = records(text)
     elif lang in ("js", "ts"):
         if "${" in text:
             text = flat_templates(text)
