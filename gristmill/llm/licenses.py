@@ -255,7 +255,7 @@ class Reader:
             if got == NONE and p > LEAST_PROBABILITY:
                 continue
             # exact check: an identifier in a list is data, one after words of licensing or in an expression is a statement
-            if re.search(r"[\[{(]\s*[\"'][^\]})]*\Z", line) and not re.search(r"(?i)licen[sc]e[\"']?\s*[:=]\s*[\[{(]", line):
+            if re.search(r"[\[{(]\s*[\"'](?:[^\"':]*[\"']\s*,\s*[\"'])*\Z", line) and not re.search(r"(?i)licen[sc]e[\"']?\s*[:=]\s*[\[{(]", line):
                 continue
             if not titles_alone and not re.search(r"(?i)licen[sc]|spdx|terms|copying|\b(?:or|and|with)\s*\(?\s*\Z|under\s+(?:the\s+)?\Z", line[-80:]):
                 continue
