@@ -59,16 +59,18 @@ def ego(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> DataFram
     return s.unionByName(n.join(s, ["repo_id", "id"], "left_semi").select("repo_id", F.col("other").alias("id"))).distinct()
 
 
-def _fixpoint(seeds: DataFrame, step, limit: int = 1_000, every: int = 1) -> DataFrame:
-    """All that ``step`` reaches from the seeds; each round joins the frontier alone, and lineage is cut."""
-    seen = checkpointed(seeds.select("repo_id", "id").distinct())
-    frontier = seen
-    for _ in range(limit):
+def _fixpoint(seeds: DataFrame, step, limit: int = 1_000, compact: int = 8) -> DataFrame:
+    """All that ``step`` reaches from the seeds; each round joins the frontier alone, and lineage is cut by checkpoints of the frontiers."""
+    frontier = checkpointed(seeds.select("repo_id", "id").distinct())
+    seen = frontier
+    for i in range(limit):
         new = step(frontier).select("repo_id", "id").distinct().join(seen, ["repo_id", "id"], "left_anti")
         frontier = checkpointed(new)
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if (i + 1) % compact == 0:
+            seen = checkpointed(seen)
     return seen
 
 

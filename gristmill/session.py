@@ -29,3 +29,19 @@ def checkpointed(df, eager: bool = True):
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-"))
     return df.checkpoint(eager)
+
+
+#: Bytes of a table up to which it may be spread anew; larger ones have files enough.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df):
+    """The rows of a small table of few files on all cores; a large one is left as it lies, without a shuffle.
+
+    A file of a single row group is read by one task, whatever Python does with its rows afterwards.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or not df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() <= SPREAD_BYTES.bit_length():
+        return df
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files <= cores // 2 else df
