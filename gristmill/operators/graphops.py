@@ -76,7 +76,7 @@ def _fixpoint(seeds: DataFrame, step, limit: int = 1_000, compact: int = 8) -> D
 
 def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reached along edges from the seeds, which are left out unless a cycle returns to them; cycles end by themselves."""
-    e = edges.select("repo_id", F.col("src").alias("id"), F.col("dst").alias("next"))
+    e = checkpointed(edges.select("repo_id", F.col("src").alias("id"), F.col("dst").alias("next")))
     step = lambda f: f.join(e, ["repo_id", "id"]).select("repo_id", F.col("next").alias("id"))
     return _fixpoint(seeds, step).join(seeds.select("repo_id", "id"), ["repo_id", "id"], "left_anti")
 

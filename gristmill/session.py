@@ -41,7 +41,7 @@ def spread(df):
     A file of a single row group is read by one task, whatever Python does with its rows afterwards.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or not df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() <= SPREAD_BYTES.bit_length():
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     files = len(df.inputFiles())
     return df.repartition(cores) if 0 < files <= cores // 2 else df
