@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.session import spread
+
 #: Licences of a catalogue that are trained at once and sent to tasks: a bound on the model, checked.
 CATALOG_LIMIT = 5_000
 LEAST_PROBABILITY, LEAST_COVER, LEAST_RUN = 0.5, 0.62, 5
@@ -357,7 +359,7 @@ _OUT = pa.schema([("subject_kind", pa.string()), ("key_id", pa.int64()), ("licen
 
 
 def _raw_statements(files: DataFrame, model: Model) -> DataFrame:
-    rows = files.select("file_id", "repo_id", "path", "content").filter(F.col("content").isNotNull())
+    rows = spread(files.select("file_id", "repo_id", "path", "content")).filter(F.col("content").isNotNull())
     root = re.compile(_ROOT)
 
     def run(batches):

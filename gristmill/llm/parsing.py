@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import grammar
 from gristmill.llm.shapes import BAD, shape
+from gristmill.session import spread
 
 LANGUAGES = {".py": "python", ".js": "js", ".ts": "ts", ".java": "java", ".go": "go", ".c": "c", ".h": "c"}
 SOURCE = r"(?i)\.(?:py|js|ts|java|go|c|h)$"
@@ -166,7 +167,7 @@ def accepted_map(m: dict[str, tuple[str, str]], lang: str) -> bool:
 def source_files(files: DataFrame, id_col: str = "file_id", path_col: str = "path", content_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """The rows with content and an extension of ``LANGUAGES``, as (id, path, content) and the columns to keep; only these columns are read."""
     cols = [F.col(id_col).cast("long").alias("__id"), F.col(path_col).alias("__path"), F.col(content_col).alias("__text"), *keep]
-    return files.select(*cols).filter(F.col("__text").isNotNull() & F.col("__path").rlike(SOURCE))
+    return spread(files.select(*cols)).filter(F.col("__text").isNotNull() & F.col("__path").rlike(SOURCE))
 
 
 def _small(batches):
