@@ -25,10 +25,11 @@ from gristmill.llm import grammar
 from gristmill.llm.parsing import language, python_tree, source_files
 from gristmill.llm.shapes import BAD, CLASSES, TOKENS, flat_templates, preprocessed, records
 
-RUN, PICK = 12, 12
-LEAST_SHARE, LEAST_REPOS = 0.7, 3
+#: A run of 32 tokens spans more than one statement, so that common short ones do not meet by chance; RUN is a power of two.
+RUN, PICK = 32, 16
+LEAST_SHARE, LEAST_REPOS = 0.75, 3
 #: Tokens below which a stream is too short to tell a copy from a coincidence.
-LEAST_TOKENS = 30
+LEAST_TOKENS = 40
 
 # What leading comments of made files say: fixed wordings.
 _MADE = re.compile(
@@ -38,7 +39,7 @@ _MADE = re.compile(
     r"|\bautomatisch\s+(?:erzeugt|erstellt|generiert)\b|\bnicht\s+(?:von\s+hand\s+)?(?:bearbeiten|ändern|editieren)\b|\bg[ée]n[ée]r[ée]e?\s+(?:automatiquement|par)\b|\bautomatiquement\s+g[ée]n[ée]r|\bne\s+pas\s+(?:modifier|[ée]diter)\b|\bgenerad[oa]\s+(?:autom[aá]ticamente|por)\b|\bautom[aá]ticamente\s+generad|\bno\s+(?:editar|modificar)\b)"
 )
 _PY = re.compile(
-    r"#[^\n]*|\n|\\\n|[ \t\f\r]+|[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+')|[^\W\d]\w*|\.?\d(?:[eE][+-]|[\w.])*|[-+*/%&|^<>=!:@]+=?|\S"
+    r"#[^\n]*|[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+')|[^\W\d]\w*|\.?\d(?:[eE][+-]|[\w.])*|[-+*/%&|^<>=!:@]+=?|\S"
 )
 _VENDOR_DIR = re.compile(r"(?i)(?:^|/)(?:vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|extern|deps|jspm_packages|site-packages)/")
 
@@ -76,19 +77,18 @@ class CRC(dict):
 
 
 _CRC = CRC()
-_MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(RUN)], dtype=np.uint64)
-
-
 def fingerprints(stream: list[str]) -> list[int]:
     """Winnowed fingerprints of a token stream."""
     if len(stream) < LEAST_TOKENS:
         return []
-    ids = np.fromiter(map(_CRC.__getitem__, stream), dtype=np.uint64, count=len(stream))
-    n = len(ids) - RUN + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(RUN):
-        h = (h ^ (ids[j : j + n] * _MULT[j])) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.fromiter(map(_CRC.__getitem__, stream), dtype=np.uint64, count=len(stream))
+    step = 1
+    while step < RUN:  # hashes of runs twice as long from two neighbouring ones
+        h = (h[:-step] * np.uint64(0x9E3779B97F4A7C15)) ^ h[step:]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
+        step *= 2
+    n = len(h)
     if n > PICK:
         h = np.lib.stride_tricks.sliding_window_view(h, PICK).min(axis=1)
     else:
@@ -112,11 +112,10 @@ def made_kind(text: str, lang: str, path: str = "") -> tuple[str, list[str]] | N
         if python_tree(text) is None:
             return None
         for t in _PY.findall(text):
-            c = t[0]
-            if c == "#":
+            if t[0] == "#":
                 if not stream:
                     lead.append(t)
-            elif not (c.isspace() or t == "\\\n"):
+            elif t != "\\":
                 stream.append(t)
         code = sum(map(len, stream))
         for t in stream:
