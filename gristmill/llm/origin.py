@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -105,52 +106,31 @@ def made_kind(text: str, lang: str, path: str = "") -> tuple[str, list[str]] | N
     text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
     if text[:1] == "﻿":
         text = text[1:]
-    stream: list[str] = []
-    lead: list[str] = []
-    literal = code = names = numbers = 0
     if lang == "python":
         if python_tree(text) is None:
             return None
-        for t in _PY.findall(text):
-            if t[0] == "#":
-                if not stream:
-                    lead.append(t)
-            elif t != "\\":
-                stream.append(t)
-        code = sum(map(len, stream))
-        for t in stream:
-            c = t[0]
-            if t[-1] in "\"'":
-                literal += len(t)
-            elif c.isdigit() or (c == "." and len(t) > 1):
-                literal += len(t)
-                numbers += 1
-            elif c.isalpha() or c == "_":
-                names += 1
+        toks = _PY.findall(text)
+        stream = [t for t in toks if t[0] != "#" and t != "\\"]
+        lead = list(takewhile(lambda t: t[0] == "#", toks))
+        quoted = [t for t in stream if t[-1] in "\"'"]
+        counted = [t for t in stream if t[0] in "0123456789." and t[-1] not in "\"'" and t != "."]
+        literal, numbers = sum(map(len, quoted)) + sum(map(len, counted)), len(counted)
+        names = sum(map(str.isidentifier, stream))
     else:
         src = preprocessed(text) if lang == "c" else records(text) if lang == "java" else flat_templates(text) if lang in ("js", "ts") and "${" in text else text
         if lang in ("js", "ts") and src.startswith("#!"):
             src = "//" + src[2:]
-        cls = CLASSES[lang]
         toks = TOKENS[lang].findall(src)
-        kinds = list(map(cls.__getitem__, toks))
+        kinds = list(map(CLASSES[lang].__getitem__, toks))
         s = "".join(kinds)
         if BAD in s or not grammar.accepted(grammar.reduced(s, lang), lang):
             return None
-        for t, k in zip(toks, kinds):
-            if t[:2] in ("//", "/*"):
-                if not stream:
-                    lead.append(t)
-            elif k == "n" or not k:
-                continue
-            else:
-                stream.append(t)
-                if k == "s" or k == "0":
-                    literal += len(t)
-                    numbers += k == "0"
-                elif k == "a":
-                    names += 1
-        code = sum(map(len, stream))
+        pairs = [(t, k) for t, k in zip(toks, kinds) if k and k != "n"]  # comments and line ends are left out
+        stream = [t for t, _ in pairs]
+        lead = [t for t in takewhile(lambda t: t[:2] in ("//", "/*") or t.isspace(), toks) if not t.isspace()]
+        literal = sum(len(t) for t, k in pairs if k in "s0")
+        numbers, names = kinds.count("0"), kinds.count("a")
+    code = sum(map(len, stream))
     if not stream:
         return ("generated" if leading(lead) else "", stream)
     if leading(lead):
