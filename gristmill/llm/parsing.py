@@ -70,7 +70,8 @@ def language(path: str | None) -> str | None:
 
 def parses(text: str, lang: str) -> bool:
     if lang == "python":
-        return python_tree(text) is not None
+        # the bracket summary of the one chunk; what it leaves open is confirmed, as quotes within f-strings can mislead it
+        return (python_brackets(text) == "" or "f" in text or "F" in text) and python_tree(text) is not None
     text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
     return grammar.accepted(grammar.reduced(shape(text, lang), lang), lang)
 
