@@ -63,8 +63,8 @@ def _script(ts: bool) -> Grammar:
     ann = rf"(?:[!?]?:{ty})?" if ts else ""
     ret = rf"(?::{ty})?" if ts else ""
     fun = rf"A?F\*?a?{PD}{ret}n?{QB}"
-    cls = rf"(?:@a(?:\.a)*{PE}?n*)*C(?:a(?!a))?(?:Xn?[at](?:\.{word}|{PE})*)?" + (rf"(?:a{ty}(?:,{ty})*)?" if ts else "") + f"n?{QC}"
-    cls = cls.replace("(?:a(?!a))?", "a?") if not ts else cls.replace("C(?:a(?!a))?", "C(?:a(?=[aX" + Q_SET + "n]))?")
+    cname = "(?:a(?=[aX" + Q_SET + "n]))?" if ts else "a?"  # the name of a class may be left out
+    cls = rf"(?:@a(?:\.a)*{PE}?n*)*C{cname}(?:Xn?[at](?:\.{word}|{PE})*)?" + (rf"(?:a{ty}(?:,{ty})*)?" if ts else "") + f"n?{QC}"
     arrow = rf"A?(?:a|A|{PD}{ret})w"
     post = rf"(?:\.{word}|\.{KE}|\.{PE}|{PE}|{KE}|s|q" + ("|!(?![=])" if ts else "") + ")"
     opnd = rf"(?:{arrow}n?{QB}|(?:{arrow})*+(?:{fun}|{cls}|[aA0st]|{PE}|{KE}|{QO}|i(?={ANYP}|\.)|N\.a))"
@@ -78,12 +78,12 @@ def _script(ts: bool) -> Grammar:
     bind = rf"(?:[aA]|{KE}|{QO}|{QM})"
     decl = rf"L{bind}{ann}(?:=(?!=){e})?(?:,{bind}{ann}(?:=(?!=){e})?)*+"
     names = rf"(?:a|A|{QM}|\*aa)(?:,(?:{QM}|\*aa))?"
-    tsdecl = rf"|(?:a)*(?:aa(?:Xn?{ty}(?:,{ty})*)?n?{QI}n?|a[as](?:\.a)*n?{QB}|aa={ty}{end}|L?J a?n?{QE}|A?F\*?a{PD}{ret}{end}|{decl}{end}|{cls}|{fun})".replace("J a", "Ja") if ts else ""
+    tsdecl = rf"|(?:a)*(?:aa(?:Xn?{ty}(?:,{ty})*)?n?{QI}n?|a[as](?:\.a)*n?{QB}|aa={ty}{end}|L?Ja?n?{QE}|A?F\*?a{PD}{ret}{end}|{decl}{end}|{cls}|{fun})" if ts else ""
     stmt = (
-        rf"(?:;|n|{QB}|I{PE}n*|H(?:{PE}|{PH})n*|Ha{PH}n*|E(?:n*)|D(?:n*)|a:n*|T n?{QB}(?:n?c{PD}?n?{QB}n?f n?{QB}|n?c{PD}?n?{QB}|n?f n?{QB})|S{PE}n?{QS}"
+        rf"(?:;|n|{QB}|I{PE}n*|H(?:{PE}|{PH})n*|Ha{PH}n*|E(?:n*)|D(?:n*)|a:n*|Tn?{QB}(?:n?c{PD}?n?{QB}n?fn?{QB}|n?c{PD}?n?{QB}|n?fn?{QB})|S{PE}n?{QS}"
         rf"|{decl}{end}|A?F\*?a{PD}{ret}n?{QB}|{cls}|R{es}{end}|R{end}|Ba?{end}|g{end}"
         rf"|i(?:a)?(?:s|{names}as)(?:a{QO})?{end}|x(?:d(?:{fun}|{cls}|{e}{end})|a?{QM}(?:as)?{end}|\*(?:aa)?as{end}|(?={'[LFCAaJ@]' if ts else '[LFCA@]'})n?)" + tsdecl + rf"|(?![FCL]|{ANYQ}){es}{end})"
-    ).replace(" ", "")
+    )
     key = rf"(?:{word}|s|0|{KE})"
     item = rf"n*(?:e{e}|{key}:n*{e}|(?:[aA]|\*)*{key}{PD}{ret}n?{QB}|[aAtr](?:={e})?)n*"
     member = rf"(?:;|n|@a(?:\.a)*{PE}?n*|(?:[aA]|\*)*{key}[!?]?{PD}{ret}n?(?:{QB}{'|' + end if ts else ''})|a{QB}|(?:a)*{key}{ann}(?:={e})?{end})"

@@ -223,7 +223,6 @@ def syntax_verdicts(files: DataFrame, id_col: str = "file_id", path_col: str = "
     maps shuffled back by file; a balanced Python file is then parsed whole.
     """
     rows = source_files(files, id_col, path_col, content_col, keep)
-    spark = files.sparkSession
     types = dict(rows.dtypes)
     schema = ", ".join([f"__id {types['__id']}", *(f"`{k}` {types[k]}" for k in keep), "language string", "parses boolean"])
     size = F.length("__text")
@@ -242,7 +241,6 @@ def syntax_verdicts(files: DataFrame, id_col: str = "file_id", path_col: str = "
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(langs, pa.string()), pa.array(ok, pa.bool_())], names=[*names, "language", "parses"])
 
     large = big.join(lexed, "__row").mapInArrow(confirm, schema)
-    del spark
     return small.unionByName(large).withColumnRenamed("__id", id_col)
 
 

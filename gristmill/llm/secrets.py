@@ -48,14 +48,13 @@ FORMATS = {
 }
 _FORMAT = {k.lower(): re.compile(rf"(?<![A-Za-z0-9_\-]){v}") for k, v in FORMATS.items()}
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_BODY = re.compile(r"(?:[\s\"'+,;\\()]|\\[nr]|[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]+)*?(?=-----END|\Z)")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _URL = re.compile(r"://([^\s:/@\"'`<>]*):([^\s/\"'`<>]*(?:/(?=[^\s/\"'`<>@]*@)[^\s/\"'`<>]*)*)@(?=[\w\[.$%{-])")
 _AUTH = re.compile(r"(?i)(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?\s*(bearer|basic|token|digest|apikey)\s+([^\s\"'`,;<>]+|<[^>\n]*>)")
 _BEARER = re.compile(r"(?i)\bbearer[ \t]+([A-Za-z0-9._~+/=-]{12,})")
 _CURL = re.compile(r"(?:(?<=\s)-u|--user)(?:\s+|=)[\"']?([^\s:\"']+):([^\s\"']+)")
 _SQL = re.compile(r"(?i)(?:identified\s+(?:with\s+\w+\s+)?by|\bpassword)\s+(?:password\s+)?(['\"])((?:(?!\1)[^\n])*)\1")
-_NETRC = re.compile(r"(?i)\b(?:login|account)\s+\S+\s+password\s+(\S+)")
+_NETRC, _LOGIN = re.compile(r"(?i)password\s+(\S{1,4200})"), re.compile(r"(?i)\b(?:login|account)\s+\S{1,200}\s+\Z")
 _TAG = re.compile(r"<([\w.:-]+)(?:\s[^<>]*)?>([^<>\s]+)</\1\s*>")
 
 # ---- named values
@@ -68,9 +67,9 @@ _NAME = r"[A-Za-z_$][\w$.\-]*"
 _GAP = re.compile(
     r"""(?P<q>\\?["'`]|["']?\])?[ \t]*(?:(?P<type>\??:[ \t]*(?:&(?:'static[ \t]+)?)?[A-Za-z_][\w.<>\[\]?|]*[ \t]*(?==))?(?P<op>:=|=>|=(?!=)|:(?!:)|,)|(?P<put>\\?["'`]?[ \t]*\)?[ \t]*\([ \t]*(?=["'`])))[ \t]*(?:\\?\n[ \t]*(?=["'`]))?"""
 )
-_QUOTED = re.compile(r"(?:[brufBRUFL@$]{0,2})(\\?[\"'`])((?:(?!\1)(?:\\[^\n]|[^\\\n]))*)\1")
+_QUOTED = re.compile(r"(?:[brufBRUFL@$]{0,2})(\\?[\"'`])((?:(?!\1)(?:\\[^\n]|[^\\\n])){0,4200})\1")
 _JOIN = re.compile(r"[ \t]*[+.]?[ \t]*\\?\n?[ \t]*(?:\+[ \t]*)?(?=[\"'`])")
-_BARE = re.compile(r"[^\s\"'`,;()<>{}\[\]#][^\s\"'`,;()<>{}\[\]]*")
+_BARE = re.compile(r"[^\s\"'`,;()<>{}\[\]#][^\s\"'`,;()<>{}\[\]]{0,4200}")  # a credential of a name is no longer than 4,096
 _LINE_REST = re.compile(r"[ \t]*(?:[#;][^\n]*|//[^\n]*|\*/[^\n]*|-->[^\n]*|\.|,)?[ \t]*(?=\r?\n|\Z)")
 _CODE = re.compile(r"(?i)\.(?:py|js|jsx|ts|tsx|java|go|c|h|cc|cpp|hpp|cs|kt|rs|swift|scala|php|rb|json)$")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;)|\s(?://|#|/\*|--)\s")
@@ -161,7 +160,7 @@ def _named(text: str, at: int, end: int, code: bool) -> tuple[int, int, str] | N
     m = _GAP.match(text, right)
     if not m:
         # Dockerfile: ENV NAME value; argument: --password value
-        line = text[text.rfind("\n", 0, left) + 1 : left]
+        line = text[max(text.rfind("\n", max(0, left - 200), left) + 1, left - 200, 0) : left]
         if re.fullmatch(r"\s*(?:ENV|ARG)\s+", line) or stripped.startswith("--"):
             m = re.compile(r"[ \t]+").match(text, right)
             b = _BARE.match(text, m.end()) if m else None
@@ -191,7 +190,7 @@ def _named(text: str, at: int, end: int, code: bool) -> tuple[int, int, str] | N
         return None
     if m["put"] or m["op"] == ",":
         return None
-    start = text.rfind("\n", 0, left) + 1
+    start = max(text.rfind("\n", max(0, left - 2000), left) + 1, left - 2000, 0)
     before = text[start:left]
     in_string = text[left - 1 : left] in "\"'" and not m["q"] if left else False
     if code and not in_string and not _COMMENT.search(before + " "):
@@ -289,8 +288,11 @@ def scan(text: str, code: bool) -> list[tuple[int, int, str]]:
                 hit = (m.start(2), m.end(2), "login")
         if hit is None and word in ("password", "passwd", "pass", "secret", "token", "key"):
             m = _SQL.match(text, at) if word == "password" else None
+            n = _NETRC.match(text, at) if word == "password" and _LOGIN.search(text, max(0, at - 240), at) else None
             if m and credential_value(m[2], "", True):
                 hit = (m.start(2), m.end(2), "login")
+            elif n and credential_value(n[1], "", True):
+                hit = (n.start(1), n.end(1), "login")
             elif text[at - 1 : at] != "/" and "<" in text[max(0, at - 40) : at]:
                 t = _TAG.match(text, text.rfind("<", 0, at))
                 if t and secret_name(t[1]) and credential_value(t[2], t[1], True):
@@ -300,7 +302,7 @@ def scan(text: str, code: bool) -> list[tuple[int, int, str]]:
             if hit[2] == "private_key":
                 skip = hit[1]
     out: list[tuple[int, int, str]] = []
-    for s in sorted(found, key=lambda s: (s[0], -s[1])):
+    for s in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
         if not out or s[0] >= out[-1][1]:
             out.append(s)
     return out
@@ -318,7 +320,7 @@ def spans(text: str, path: str | None, chunk: int = CHUNK, overlap: int = OVERLA
             if a <= lo + s < a + chunk or (lo + s < a and lo == 0):
                 found.add((lo + s, lo + e, k))
     out: list[tuple[int, int, str]] = []
-    for s in sorted(found, key=lambda s: (s[0], -s[1])):
+    for s in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
         if not out or s[0] >= out[-1][1]:
             out.append(s)
     return out
