@@ -105,9 +105,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _ALL}
 
 
+def _grams(table: str, key: str) -> str:
+    """Runs of twelve words of a text, without markup, entities, invisible characters and case."""
+    inline = r"</?(?:a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var)(?:\s[^<>]*)?/?>"
+    plain = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{inline}', '', 'g'), '</?[A-Za-z][^<>]*>', ' ', 'g'), '&(?:nbsp|amp|lt|gt|quot|#160);', ' ', 'g'), '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM (SELECT {key}, regexp_extract_all(lower({plain}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12"
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can say of these operators over the whole tables."""
+    leaked = f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('eval_items', 'item_id')}) USING (g)"
     return {
+        "p7_found": leaked,
+        "p7_items": f"SELECT item_id, suite, eval_split, CAST(coalesce(n, 0) AS BIGINT) AS documents FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM ({leaked}) GROUP BY item_id) USING (item_id)",
         "p3_found": r"""
             SELECT file_id, CASE WHEN regexp_matches(content, '[^\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{1000}[^\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{1000}[^\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')
                 THEN 'forced' ELSE 'natural' END AS cut_kind
