@@ -15,6 +15,7 @@ import inspect
 import re
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -423,8 +424,13 @@ def brace_pairs(text: str, lang: str) -> list[tuple[str, int, int, int, str]] |
 
 
 def documented(text: str, lang: str) -> list[tuple[str, int, int, int, str]]:
+    """Functions with documentation that says something, as ``python_pairs``; lines of names are counted by ``\\n`` alone."""
     pairs = python_pairs(text) if lang == "python" else brace_pairs(text, lang)
-    return [p for p in pairs or () if p[4] and not trivial(p[4], p[0])]
+    out = [p for p in pairs or () if p[4] and not trivial(p[4], p[0])]
+    if out and "\r" in text and re.search(r"\r(?!\n)", text):  # a lone return ends a line for the languages, but not for the numbering
+        before = [0, *accumulate(e != "\r" for e in re.findall(r"\r\n|\n|\r", text))]
+        out = [(n, before[line - 1] + 1, *rest) for n, line, *rest in out]
+    return out
 
 
 # ---------------------------------------------------------------- Spark

@@ -148,6 +148,13 @@ def test_pairs(text, lang, want):
     assert {(n, line) for n, line, *_ in docpairs.documented(crlf, lang)} == want
 
 
+def test_lone_returns_are_no_lines():
+    text = "x = 1\ry = 2\n\ndef f():\r    'Gives back what it was given.'\n    return 1\n"
+    assert [(n, line) for n, line, *_ in docpairs.documented(text, "python")] == [("f", 3)]
+    text = "int a;\rint b;\n// Gives back what it was given.\nint f(void) { return 1; }\n"
+    assert [(n, line) for n, line, *_ in docpairs.documented(text, "c")] == [("f", 3)]
+
+
 @pytest.mark.parametrize(
     ("doc", "name", "trivial"),
     [
