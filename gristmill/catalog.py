@@ -578,13 +578,24 @@ def prompt_assembly(spark, d):
     return m.join(o, "repo_id", "left").select("session_id", "turn", "text", F.md5(p).alias("prompt_md5"))
 
 
-@query()
+@query(
+    r"""SELECT session_id, turn, role, CAST(line_no AS INT) AS line_no, CASE WHEN fence = 1 THEN 'fence' WHEN n % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^\d+\.\s') THEN 'item' ELSE 'paragraph' END AS kind, line
+        FROM (SELECT *, sum(fence) OVER (PARTITION BY rid ORDER BY line_no) AS n FROM (SELECT *, CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END AS fence FROM (
+          SELECT rid, session_id, turn, role, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT row_number() OVER () AS rid, session_id, turn, role, string_split(text, chr(10)) AS l FROM chat_messages WHERE text IS NOT NULL))))
+        WHERE trim(line, ' ') <> ''"""
+)
 def line_classify(spark, d):
     """G14."""
     return chat.message_lines(_t(spark, d, "chat_messages"))
 
 
-@query()
+@query(
+    """SELECT session_id, min(sent_at) AS start, max(sent_at) + INTERVAL 30 MINUTE AS "end", count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars
+       FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY sent_at, turn, role, text ROWS UNBOUNDED PRECEDING) AS part
+             FROM (SELECT *, CASE WHEN sent_at - lag(sent_at) OVER (PARTITION BY session_id ORDER BY sent_at, turn, role, text) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh
+                   FROM (SELECT DISTINCT session_id, turn, role, text, sent_at FROM chat_messages WHERE sent_at IS NOT NULL AND text IS NOT NULL)))
+       GROUP BY session_id, part"""
+)
 def session_activity(spark, d):
     """Stretches of conversations between long pauses (the batch form of the streaming operator)."""
     return ingest.session_activity(_t(spark, d, "chat_messages"))
