@@ -12,6 +12,7 @@ whose repository is unknown count as one repository; repeated rows are judged ea
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from itertools import takewhile
@@ -26,11 +27,11 @@ from gristmill.llm import grammar
 from gristmill.llm.parsing import language, python_tree, source_files
 from gristmill.llm.shapes import BAD, CLASSES, TOKENS, flat_templates, preprocessed, records
 
-#: A run of 32 tokens spans more than one statement, so that common short ones do not meet by chance; RUN is a power of two.
-RUN, PICK = 32, 16
-LEAST_SHARE, LEAST_REPOS = 0.75, 3
+#: Runs are short, as every edited token spoils all runs that hold it.
+RUN, PICK = 12, 12
+LEAST_SHARE, LEAST_REPOS = 0.7, 3
 #: Tokens below which a stream is too short to tell a copy from a coincidence.
-LEAST_TOKENS = 40
+LEAST_TOKENS = 30
 
 # What leading comments of made files say: fixed wordings.
 _MADE = re.compile(
@@ -78,17 +79,23 @@ class CRC(dict):
 
 
 _CRC = CRC()
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def fingerprints(stream: list[str]) -> list[int]:
     """Winnowed fingerprints of a token stream."""
     if len(stream) < LEAST_TOKENS:
         return []
-    h = np.fromiter(map(_CRC.__getitem__, stream), dtype=np.uint64, count=len(stream))
-    step = 1
-    while step < RUN:  # hashes of runs twice as long from two neighbouring ones
-        h = (h[:-step] * np.uint64(0x9E3779B97F4A7C15)) ^ h[step:]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        step *= 2
+    one = np.fromiter(map(_CRC.__getitem__, stream), dtype=np.uint64, count=len(stream))
+    two = _mixed(one[:-1], one[1:])
+    four = _mixed(two[:-2], two[2:])
+    eight = _mixed(four[:-4], four[4:])
+    h = _mixed(eight[:-4], four[8:])  # runs of twelve
     n = len(h)
     if n > PICK:
         h = np.lib.stride_tricks.sliding_window_view(h, PICK).min(axis=1)
@@ -151,7 +158,7 @@ def made_kind(text: str, lang: str, path: str = "") -> tuple[str, list[str]] | N
 # ---------------------------------------------------------------- Spark
 def _profiles(files: DataFrame) -> DataFrame:
     rows = source_files(files, keep=("repo_id",)).filter(F.length("__text") > 0)
-    schema = pa.schema([("file_id", pa.int64()), ("repo_id", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("prints", pa.list_(pa.int64()))])
+    schema = pa.schema([("file_id", pa.int64()), ("repo_id", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("prints", pa.list_(pa.int64())), ("print_id", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -160,34 +167,37 @@ def _profiles(files: DataFrame) -> DataFrame:
                 got = made_kind(text, language(path), path)
                 if got is None or not text.strip():
                     continue
-                for c, v in zip(out, (i, repo, path, got[0], fingerprints(got[1]))):
+                prints = fingerprints(got[1])
+                same = hashlib.blake2b(np.array(prints, np.int64).tobytes(), digest_size=16).digest()
+                for c, v in zip(out, (i, repo, path, got[0], prints, same)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    return rows.mapInArrow(run, "file_id long, repo_id long, path string, kind string, prints array<long>")
+    return rows.mapInArrow(run, "file_id long, repo_id long, path string, kind string, prints array<long>, print_id binary")
 
 
 def origins(files: DataFrame, repositories: DataFrame, least_share: float = LEAST_SHARE, least_repos: int = LEAST_REPOS) -> DataFrame:
     """(file_id, origin): origin is generated, minified, data, vendored or hand for each source file that parses.
 
-    Fingerprints are deduplicated per repository before they are counted, so that a file copied a million times
+    Fingerprints are counted once for files of equal ones and once per project, so that a file copied a million times
     within one repository counts once; files with an origin told by themselves are counted too, as they may be copies.
     """
     prof = _profiles(files).persist(StorageLevel.MEMORY_AND_DISK)
-    prof.count()  # the plan below reads it three times at once, and would make it three times were it not there
+    prof.count()  # the plan below reads it several times at once, and would make it as often were it not there
     name = repositories.select(F.col("id").alias("repo_id"), F.coalesce("repo_name", F.col("id").cast("string")).alias("project")).dropDuplicates(["repo_id"])
-    each = prof.select("file_id", "repo_id", F.explode("prints").alias("fp"))
-    spread = (
-        each.select("fp", "repo_id").distinct().join(name, "repo_id", "left").select("fp", F.coalesce("project", F.lit("")).alias("project")).distinct()
-        .groupBy("fp").agg(F.count("*").alias("projects")).filter("projects >= 2")
-    )
+    owner = name.join(name.groupBy("project").agg(F.min("repo_id").alias("owner")), "project").select("repo_id", "owner")
+    n = F.size("prints")
+    printed = prof.filter(n > 0)
+    each = printed.groupBy("print_id").agg(F.first("prints").alias("prints")).select("print_id", F.explode("prints").alias("fp"))
+    owners = printed.select("print_id", "repo_id").distinct().join(owner, "repo_id", "left").select("print_id", "owner").distinct()
+    # rows of one fingerprint meet once, and are then told apart and counted where they are
+    spread = each.join(owners, "print_id").select("fp", "owner").repartition("fp").distinct().groupBy("fp").agg(F.count("*").alias("projects")).filter("projects >= 2")
     shared = (
-        each.join(spread, "fp").groupBy("file_id")
+        each.join(spread, "fp").groupBy("print_id")
         .agg(F.sum(F.when(F.col("projects") >= least_repos, 1).otherwise(0)).alias("many"), F.count("*").alias("some"))
     )
-    n = F.size("prints")
     in_vendor = F.col("path").rlike(_VENDOR_DIR.pattern)
     copied = (F.col("many") >= least_share * n) | (in_vendor & (F.col("some") >= least_share * n))
-    return prof.join(shared, "file_id", "left").select(
+    return prof.join(shared, "print_id", "left").select(
         "file_id", F.when(F.col("kind") != "", F.col("kind")).when((n > 0) & copied, "vendored").otherwise("hand").alias("origin")
     )

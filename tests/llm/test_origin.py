@@ -50,3 +50,24 @@ def test_rows(spark):
     assert got[200] == "vendored" and got[201] == "hand"  # two repositories are enough only in a vendor folder
     assert got[206] == "vendored" and got[207] == "hand" and got[208] == "hand" and not {202, 203, 204, 205} & set(got)
     assert origin.origins(df.limit(0), repos).count() == 0
+
+
+def test_edited_copies_keep_their_share():
+    for seed in range(20):
+        rng = random.Random(seed)
+        a = [f"t{rng.randrange(400)}" for _ in range(1200)]
+        b = [f"edited{i}" if i % 80 == 40 else t for i, t in enumerate(a)]
+        fa, fb = set(origin.fingerprints(a)), set(origin.fingerprints(b))
+        assert len(fa & fb) >= origin.LEAST_SHARE * len(fb)
+    assert origin.fingerprints([f"t{i}" for i in range(32)])
+
+
+def test_edited_renamed_and_short_copies(spark):
+    lib, short = module(21, 40), module(22, 2)[: -len("\n\n")] + "\n"
+    local = "\n\n".join(x.replace("return ", f"return own{i} + ", 1) if i % 4 == 2 else x for i, x in enumerate(lib.split("\n\n")))  # two tokens more in 84
+    renamed = lib.replace(lib.split("def ")[3].split("(")[0], "load_own")
+    rows = [(i, i, f"lib{i}.py", lib) for i in range(3)] + [(10 + i, i, f"s{i}.py", short) for i in range(3)]
+    rows += [(20, 3, "local.py", local), (21, 3, "renamed.py", renamed), (22, 3, "own.py", module(23, 40)), (23, 4, "a.py", lib), (23, 4, "b.py", module(24, 40) + lib)]
+    repos = spark.createDataFrame([(i, f"o/r{i}") for i in range(5)], "id long, repo_name string")
+    got = sorted((r.file_id, r.origin) for r in origin.origins(spark.createDataFrame(rows, "file_id long, repo_id long, path string, content string"), repos).collect())
+    assert got == [*((i, "vendored") for i in (0, 1, 2, 10, 11, 12, 20, 21)), (22, "hand"), (23, "hand"), (23, "vendored")]
