@@ -1,9 +1,9 @@
 """Problem 9: personal information inside free text.
 
 E-mail addresses, phone numbers, identity numbers and street addresses are told by their form and
-the words beside them.  Names have no form: a first pass over all documents gathers the given and
-family names that stand in places only names stand in (a commit's author, a signature, beside a
-phone or identity number), a second finds every pair of them, in either order and any case.
+the words beside them.  Names have no form: what stands in places only names stand in (a commit's author,
+a signature, beside a phone or identity number) is a name.  A first pass over all documents gathers the given
+and family names of such places, a second finds every pair of them elsewhere too, in either order and any case.
 
 Each detected entity is replaced by a surrogate that depends on a secret key and the entity alone: the
 same person or number has the same surrogate everywhere (coreference), different ones have different
@@ -32,7 +32,7 @@ from gristmill.session import spread
 
 #: Distinct name words that are sent to the tasks; beyond it the pairs are joined with the table of names.
 LEXICON_LIMIT = 1_000_000
-#: Documents in which a word must stand as a name before it counts as one.
+#: Times that a word must stand as a name before it counts as one outside of such places.
 LEAST_SEEN = 2
 
 _W = r"[^\W\d_]+(?:['’ʼ\-‑][^\W\d_]+)*"
@@ -105,17 +105,16 @@ def key_of(word: str) -> str:
     return unicodedata.normalize("NFC", word).replace("’", "'").replace("ʼ", "'").replace("‑", "-").lower()
 
 
-def name_places(text: str) -> set[tuple[str, str]]:
-    """(role, word) of the words that stand in places of names in a text; role g or f."""
-    out: set[tuple[str, str]] = set()
+def _placed(text: str) -> list[re.Match]:
+    """Given and family names that stand in places of names in a text."""
     found = [m for p in _PLACES for m in p.finditer(text)]
     found += [m for b in _BRACKETED.finditer(text) if (m := _BEFORE.search(text, max(0, b.start() - 80), b.start()))]
-    for m in found:
-        g, f = m["g"], m["f"]
-        if not (g[0].islower() or f[0].islower() or len(g) < 2 or len(f) < 2):
-            out.add(("g", key_of(g)))
-            out.add(("f", key_of(f)))
-    return out
+    return [m for m in found if not (m["g"][0].islower() or m["f"][0].islower() or len(m["g"]) < 2 or len(m["f"]) < 2)]
+
+
+def name_places(text: str) -> set[tuple[str, str]]:
+    """(role, word) of the words that stand in places of names in a text; role g or f."""
+    return {(r, key_of(m[r])) for m in _placed(text) for r in "gf"}
 
 
 class Names:
@@ -208,6 +207,8 @@ def entities(text: str, names: Names | None) -> list[tuple[int, int, str]]:
     if names:
         for a, b in names.find(text):
             add(a, b, "name")
+    for m in _placed(text):
+        add(min(m.start("g"), m.start("f")), max(m.end("g"), m.end("f")), "name")
     return found
 
 

@@ -62,3 +62,12 @@ def test_lifelike_keeps_the_form():
 def test_lexicon_bound(spark):
     with pytest.raises(ValueError):
         personal.learned_names(docs(spark), limit=1)
+
+
+def test_name_of_one_place(spark):
+    assert got("Author: Solo Once <s@x.test>", None) == [("Solo Once", "name"), ("s@x.test", "email")]
+    assert got("Assignee: Once, Solo\n", None) == [("Once, Solo", "name")] and got("call Solo Once (+33 1 99 92 39 83)", None)[0] == ("Solo Once", "name")
+    assert got("Author: the team <s@x.test>", None) == [("s@x.test", "email")]
+    df = docs(spark)
+    assert (8, 9, "name") in {(r.doc_id, r.start_pos, r.pii_type) for r in personal.personal_entities(df).collect()}
+    assert "Solo" not in {r.doc_id: r.text for r in personal.pseudonymised(df, "k").collect()}[8]
