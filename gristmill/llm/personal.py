@@ -97,7 +97,10 @@ _TOKEN = re.compile(_W)
 #: What the lower-case text must hold for a pattern to be worth a search.
 _ID_WORDS = "ssn social passport reisepass personalausweis pasaporte passeport tax tin steuer sozialvers curit nif nie dni nir national card identi driver personnummer bsn pesel cpf aadhaar curp".split()
 _PHONE_WORDS = ["tel", "tél", "phone", "fon", "fax", "mobil", "cell", "handy", "call", "ruf", "móvil", "appelez"]
-_AT_SIGNS = ["(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", "( @", "[ @", "arroba", "(ät", "[ät", "chez"]
+#: What every spelt-out e-mail holds: a sign in brackets, or one between blanks and a spelt-out or bracketed dot.
+_AT_BRACKET = re.compile(r"[(\[{<][ \t]*(?:at|@|ät|arroba|chez)[ \t]*[)\]}>]", re.I)
+_AT_BLANK = re.compile(r"[ \t](?:at|arroba)[ \t]", re.I)
+_DOT_SPELT = re.compile(r"[(\[{<][ \t]*(?:dot|\.|punkt|point|punto)[ \t]*[)\]}>]|[ \t](?:dot|punkt|point|punto)[ \t]", re.I)
 _BETWEEN = re.compile(r"(?:[ \t\u00a0\u202f]+|,[ \t\u00a0\u202f]+|[ \t]*\n[ \t]*|,[ \t]*\n[ \t]*)\Z")
 
 
@@ -181,7 +184,7 @@ def entities(text: str, names: Names | None) -> list[tuple[int, int, str]]:
                 if re.search(r"\w+://\S*\Z", text[max(0, a - 80) : a]) and "=" not in text[max(0, a - 80) : a]:
                     continue
                 add(a, b, "email")
-    if any(x in low for x in _AT_SIGNS) or (" at " in low and any(x in low for x in (" dot ", "(dot", "[dot", "( dot", "[ dot", " punkt ", " punto "))):
+    if _AT_BRACKET.search(text) or (_DOT_SPELT.search(text) and _AT_BLANK.search(text)):
         for m in _EMAIL_SPELT.finditer(text):
             marked = re.search(r"[(\[{<][ \t]*(?:at|@|ät|arroba|chez)", m[0], re.I)
             dots = re.search(r"(?:dot|punkt|point|punto|\.)", m["host"], re.I)

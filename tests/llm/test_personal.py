@@ -71,3 +71,10 @@ def test_name_of_one_place(spark):
     df = docs(spark)
     assert (8, 9, "name") in {(r.doc_id, r.start_pos, r.pii_type) for r in personal.personal_entities(df).collect()}
     assert "Solo" not in {r.doc_id: r.text for r in personal.pseudonymised(df, "k").collect()}[8]
+
+
+@pytest.mark.parametrize("at", [" at ", "\tat\t", " AT ", " arroba ", "(at)", "[  at  ]", "{\tat }", "<at>", "[ ät ]", "(  @ )", "( chez )", "( arroba )"])
+@pytest.mark.parametrize("dot", [" [.] ", " (.) ", " {dot} ", " [punkt] ", " (punto) ", "(\tdot  )", " dot ", "\tpunkt\t", "<point>"])
+def test_spelt_out_emails(at, dot):
+    mail = f"mara{at}example{dot}com"
+    assert got(f"mail {mail}, please") == [(mail, "email")]
