@@ -17,7 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 PAGERANK_ROUNDS = 8
+#: Rounds of the queries without SQL, as the survey has them.
+SURVEYED_ROUNDS = 20
 TERM = "parser"
+QUESTION = "which parser reads the settings"
 LEVEL = 2
 
 
@@ -365,11 +368,8 @@ def _pagerank_sql(rounds: int) -> str:
     return ", ".join(parts)
 
 
-@query(_with(f"SELECT repo_id, id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY round(score, 8) DESC, id) AS k FROM r{PAGERANK_ROUNDS}) WHERE k <= 20", more=_pagerank_sql(PAGERANK_ROUNDS)))
-def pagerank_top20(spark, d):
-    """The central nodes of each repository; a fixed number of rounds."""
-    n, e = _graph(spark, d)
-    r = graphops.pagerank(n, e, iterations=PAGERANK_ROUNDS, tol=None).withColumn("score", F.round("score", 8))
+def _central(rank: DataFrame) -> DataFrame:
+    r = rank.withColumn("score", F.round("score", 8))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, retrieve.CENTRAL)
     # ranks of one repository are cut to the best of each salted part before they meet
     part = r.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("repo_id", "salt").agg(best.alias("b"))
@@ -377,6 +377,19 @@ def pagerank_top20(spark, d):
     return top.select("repo_id", F.explode("b").alias("x")).select("repo_id", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"))
 
 
+@query(_with(f"SELECT repo_id, id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY round(score, 8) DESC, id) AS k FROM r{PAGERANK_ROUNDS}) WHERE k <= 20", more=_pagerank_sql(PAGERANK_ROUNDS)))
+def pagerank_top20(spark, d):
+    """The central nodes of each repository; a fixed number of rounds."""
+    n, e = _graph(spark, d)
+    return _central(graphops.pagerank(n, e, iterations=PAGERANK_ROUNDS, tol=None))
+
+
+@query()
+def pagerank_surveyed(spark, d):
+    """The central nodes of each repository after the rounds of the survey."""
+    return _central(graphops.pagerank(*_graph(spark, d), iterations=SURVEYED_ROUNDS, tol=None))
+
+
 @query(
     _with(
         "SELECT n.repo_id, n.id, n.type FROM nodes n SEMI JOIN clo c ON c.repo_id = n.repo_id AND c.id = n.id",
@@ -468,6 +481,16 @@ def hybrid_relevance(spark, d):
     return r.select("repo_id", "id", F.round(retrieve.relevance(sim, F.col("score")), 8).alias("score"))
 
 
+@query()
+def hybrid_relevance_cosine(spark, d):
+    """F8: cosine of every embedded id with a question, and centrality after the rounds of the survey, weighed."""
+    n, e = _graph(spark, d)
+    q = F.array(*[F.lit(float(x)) for x in retrieve._EMBEDDER[0](QUESTION)])
+    sim = retrieve.embedded(n.select("repo_id", "id"), "id", "a").select("repo_id", "id", vectors.cosine(F.col("a"), q).alias("sim"))
+    r = sim.join(graphops.pagerank(n, e, iterations=SURVEYED_ROUNDS, tol=None), ["repo_id", "id"], "left")
+    return r.select("repo_id", "id", F.round(retrieve.relevance(F.col("sim"), F.col("score")), 8).alias("score"))
+
+
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INT) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_count(spark, d):
     """F10."""
@@ -525,6 +548,14 @@ def general_union(spark, d):
     return hits.unionByName(pagerank_top20(spark, d).select("repo_id", "id")).distinct()
 
 
+@query()
+def general_union_surveyed(spark, d):
+    """The same with central nodes after the rounds of the survey."""
+    n, _ = _graph(spark, d)
+    hits = n.filter(F.contains(F.lower("label"), F.lit(TERM))).select("repo_id", "id")
+    return hits.unionByName(pagerank_surveyed(spark, d).select("repo_id", "id")).distinct()
+
+
 # ---------------------------------------------------------------- questions and conversations
 def _class_sql(c: str) -> str:
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({c}), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in tx.CLASSES.items()) + " ELSE 'general' END"

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from gristmill.operators import graph, graphops
+from gristmill.operators import graph, graphops, retrieve
 from gristmill.sources import store
 
 FILES = [
@@ -158,3 +159,30 @@ def test_empty(spark):
 def test_best_of_type(g):
     best = {r.type: r.id for r in graphops.top_by_type(g[0], graphops.pagerank(*g)).collect()}
     assert best["file"] == "app/core/engine.py" and best["import"] == "app/utils.py::helper" or best["import"] == "app/utils.py::log"
+
+
+def test_ranks_after_the_surveyed_rounds(spark, tmp_path):
+    import json
+
+    from gristmill import catalog
+
+    rows = [(i, 1, f"m{i:02}.py", json.dumps({"functions": [f"f{i}"], "classes": [], "imports": [f"m{i - 1:02}.f{i - 1}"] if i else []})) for i in range(12)]
+    spark.createDataFrame(rows, "id long, repo_id long, file_path string, ast_info string").write.parquet(f"{tmp_path}/ast_data.parquet")
+    q, d = catalog.queries(), str(tmp_path)
+    n, e = catalog._graph(spark, d)
+    ids = sorted(r.id for r in n.collect())
+    m = np.zeros((len(ids), len(ids)))
+    for r in e.collect():
+        m[ids.index(r.dst), ids.index(r.src)] = 1
+    m = np.where(m.sum(0) > 0, m / np.maximum(m.sum(0), 1), 1 / len(ids))
+    v = np.full(len(ids), 1 / len(ids))
+    for _ in range(20):
+        v = 0.85 * m @ v + 0.15 / len(ids)
+    want = dict(zip(ids, v))
+    got = {r.id: r.score for r in q["pagerank_surveyed"](spark, d).collect()}
+    few = {r.id: r.score for r in q["pagerank_top20"](spark, d).collect()}
+    assert len(got) == 20 and all(abs(want[k] - v) < 1e-6 for k, v in got.items()) and any(abs(want[k] - v) > 1e-4 for k, v in few.items())
+    assert set(got) == {r.id for r in q["general_union_surveyed"](spark, d).collect()}
+    rel = {r.id: r.score for r in q["hybrid_relevance_cosine"](spark, d).collect()}
+    asked = np.array(retrieve.hashed_embedding(catalog.QUESTION))
+    assert set(rel) == set(want) and all(abs(v - 0.7 * float(asked @ np.array(retrieve.hashed_embedding(k))) - 0.3 * want[k]) < 1e-6 for k, v in rel.items())
