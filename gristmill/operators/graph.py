@@ -143,18 +143,35 @@ def scaled(df: DataFrame, value: str, keys: list[str], out: str = "scaled", top:
     return j.withColumn(out, F.try_divide(F.col(value) - F.col("__lo"), F.when(F.col("__hi") != F.col("__lo"), F.col("__hi") - F.col("__lo"))) * top).drop("__lo", "__hi")
 
 
-#: Nodes beyond which a force layout of one graph is refused: it is sequential and quadratic.
+#: Nodes beyond which what is far from a node in a graph is felt by cells, not by nodes: all pairs are quadratic.
 LAYOUT_LIMIT = 5_000
 
 
-def layout(nodes: DataFrame, edges: DataFrame, iterations: int = 50, k: float = 0.5, seed: int = 7) -> DataFrame:
-    """(repo_id, id, x, y): a seeded spring layout of each graph of at most ``LAYOUT_LIMIT`` nodes, scaled to 0..1000; null where it cannot be."""
+def _gridded(pos, k: float):
+    """Repulsion of each node: by the nodes of its cell, and by the centres of all others. Cells hold about equally many, so that clumps cost no more."""
+    import numpy as np
+
+    g = max(1, round(len(pos) ** 0.25))
+    strips = np.array_split(np.argsort(pos[:, 0], kind="stable"), g)
+    cells = [c for s in strips for c in np.array_split(s[np.argsort(pos[s, 1], kind="stable")], g) if len(c)]
+    centre, count = np.array([pos[c].mean(0) for c in cells]), np.array([len(c) for c in cells], dtype=float)
+    move = np.empty_like(pos)
+    for i, c in enumerate(cells):
+        far = np.arange(len(cells)) != i
+        weight = np.concatenate([np.ones(len(c)), count[far]])
+        d = pos[c][:, None, :] - np.concatenate([pos[c], centre[far]])[None, :, :]
+        dist = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
+        move[c] = (d * (k * k * weight / dist**2)[..., None]).sum(1)
+    return move
+
+
+def layout(nodes: DataFrame, edges: DataFrame, iterations: int = 50, k: float = 0.5, seed: int = 7, limit: int = LAYOUT_LIMIT) -> DataFrame:
+    """(repo_id, id, x, y): a seeded spring layout of each graph, scaled to 0..1000; null where it cannot be. Beyond ``limit`` nodes, far ones repel by cells."""
     import numpy as np
     import pandas as pd
 
-    small = nodes.groupBy("repo_id").count().filter(F.col("count") <= LAYOUT_LIMIT).select("repo_id")
-    n = nodes.join(small, "repo_id", "left_semi").select("repo_id", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
-    e = edges.join(small, "repo_id", "left_semi").select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b"))
+    n = nodes.select("repo_id", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
+    e = edges.select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(pdf.loc[pdf.b.isna(), "a"])
@@ -165,9 +182,12 @@ def layout(nodes: DataFrame, edges: DataFrame, iterations: int = 50, k: float =
         link = np.array([(at[a], at[b]) for a, b in zip(pairs.a, pairs.b) if a in at and b in at and a != b], dtype=int).reshape(-1, 2)
         heat = 0.1
         for _ in range(iterations):
-            d = pos[:, None, :] - pos[None, :, :]
-            dist = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
-            move = (d * (k * k / dist**2)[..., None]).sum(1)
+            if m > limit:
+                move = _gridded(pos, k)
+            else:
+                d = pos[:, None, :] - pos[None, :, :]
+                dist = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
+                move = (d * (k * k / dist**2)[..., None]).sum(1)
             if len(link):
                 v = pos[link[:, 0]] - pos[link[:, 1]]
                 pull = v * (np.maximum(np.sqrt((v**2).sum(1)), 0.01) / k)[:, None]

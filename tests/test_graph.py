@@ -186,3 +186,18 @@ def test_ranks_after_the_surveyed_rounds(spark, tmp_path):
     rel = {r.id: r.score for r in q["hybrid_relevance_cosine"](spark, d).collect()}
     asked = np.array(retrieve.hashed_embedding(catalog.QUESTION))
     assert set(rel) == set(want) and all(abs(v - 0.7 * float(asked @ np.array(retrieve.hashed_embedding(k))) - 0.3 * want[k]) < 1e-6 for k, v in rel.items())
+
+
+def test_layout_of_a_large_graph(spark):
+    m = graph.LAYOUT_LIMIT + 1000
+    n = spark.range(m).selectExpr("1L repo_id", "concat('f', id) id").unionByName(spark.createDataFrame([(2, "a"), (2, "b")], "repo_id long, id string"))
+    e = spark.range(m - 1).selectExpr("1L repo_id", "concat('f', id) src", "concat('f', id + 1) dst")
+    got = graph.layout(n, e).collect()
+    assert len({(r.repo_id, r.id) for r in got}) == len(got) == m + 2 and all(0 <= r.x <= 1000 and 0 <= r.y <= 1000 for r in got)
+
+
+def test_far_nodes_by_cells_repel_as_all_do():
+    pos = np.random.default_rng(1).random((900, 2))
+    d = pos[:, None, :] - pos[None, :, :]
+    want = (d * (0.25 / np.maximum(np.sqrt((d**2).sum(-1)), 0.01) ** 2)[..., None]).sum(1)
+    assert np.linalg.norm(graph._gridded(pos, 0.5) - want) < 0.15 * np.linalg.norm(want)
