@@ -7,8 +7,8 @@ and family names of such places, a second finds every pair of them elsewhere too
 
 Each detected entity is replaced by a surrogate that depends on a secret key and the entity alone: the
 same person or number has the same surrogate everywhere (coreference), different ones have different
-surrogates (``surrogate_table`` looks for collisions over the whole corpus and rehashes them).  The
-surrogate is a typed placeholder with a keyed code; ``realistic=True`` makes one of the same type, script
+surrogates (collisions are looked for over the whole corpus and rehashed, in texts and in ``surrogate_table`` alike).
+The surrogate is a typed placeholder with a keyed code; ``lifelike=True`` makes one of the same type, script
 and format instead (digits for digits, letters for letters of the same case, names of the same gender ending).
 
 Defined results: null text gives no entity and stays null; empty text stays empty; documents without
@@ -25,6 +25,7 @@ from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from gristmill.session import spread
 LEXICON_LIMIT = 1_000_000
 #: Times that a word must stand as a name before it counts as one outside of such places.
 LEAST_SEEN = 2
+#: Lifelike surrogates tried before an entity gets a placeholder, and entities not at their first one that are sent to the tasks.
+ATTEMPTS, CLASH_LIMIT = 16, 1_000_000
 
 _W = r"[^\W\d_]+(?:['’ʼ\-‑][^\W\d_]+)*"
 _CAP = r"(?=[^\W\d_a-zà-öø-ÿ])" + _W
@@ -236,8 +239,14 @@ def keyed(secret: bytes, kind: str, canon: str, attempt: int = 0) -> bytes:
     return hmac.new(secret, f"{kind}\x1f{canon}\x1f{attempt}".encode(), hashlib.sha256).digest()
 
 
-def placeholder(kind: str, digest: bytes) -> str:
-    return f"[{_PLACEHOLDER[kind]}_{digest[:6].hex()}]"
+def placeholder(kind: str, digest: bytes, whole: bool = False) -> str:
+    return f"[{_PLACEHOLDER[kind]}_{(digest if whole else digest[:6]).hex()}]"
+
+
+def surrogate(entity: str, kind: str, canon: str, key: bytes, attempt: int = 0, lifelike: bool = False) -> str:
+    """The surrogate of an entity; of a later attempt, a placeholder has the whole code, as has a lifelike one that could not be told from others."""
+    d = keyed(key, kind, canon, attempt)
+    return realistic(entity, d) if lifelike and attempt < ATTEMPTS else placeholder(kind, d, attempt > 0)
 
 
 _VOWEL, _CONS = "aeiou", "bcdfghklmnprstvz"
@@ -315,18 +324,51 @@ def personal_entities(documents: DataFrame, doc_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"__id long, start_pos long, end_pos long, pii_type string{', entity string, canon string' if with_text else ''}").withColumnRenamed("__id", doc_col)
 
 
-def surrogate_table(found: DataFrame, secret: str, doc_col: str = "doc_id") -> DataFrame:
-    """(pii_type, canon, occurrences, documents, surrogate): one row per distinct entity of the corpus.
+def _forms(found: DataFrame, doc_col: str, lifelike: bool) -> DataFrame:
+    """Distinct entities, and their forms if these show in surrogates."""
+    keys = ["pii_type", "canon", *(["entity"] if lifelike else [])]
+    got = found.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.countDistinct(doc_col).alias("documents"))
+    return got if lifelike else got.withColumn("entity", F.col("canon"))
+
 
-    Surrogates that two entities share are made anew from the next attempt for all but the first of them; a 48-bit
-    code makes that rare, and one repair, whose result is a longer code, leaves none.
+def _with_surrogates(forms: DataFrame, key: bytes, attempts: dict[tuple[str, str], int], lifelike: bool) -> DataFrame:
+    """``forms`` with attempt, surrogate, and same: what makes two surrogates the same."""
+    names = forms.columns
+
+    def run(batches):
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("pii_type", "canon", "entity"))))
+            tried = [attempts.get((k, c), 0) for k, c, _ in rows]
+            made = [surrogate(e, k, c, key, n, lifelike) for (k, c, e), n in zip(rows, tried)]
+            same = [canonical(s, k) if lifelike and n < ATTEMPTS else s for s, (k, _, _), n in zip(made, rows, tried)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tried, pa.int32()), pa.array(made, pa.string()), pa.array(same, pa.string())], names=[*names, "attempt", "surrogate", "same"])
+
+    return forms.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in forms.dtypes), "attempt int, surrogate string, same string"]))
+
+
+def _attempts(forms: DataFrame, key: bytes, lifelike: bool) -> dict[tuple[str, str], int]:
+    """Attempts of the entities whose first surrogate is another's; of those that share one, the least tried and then the first keeps it."""
+    attempts: dict[tuple[str, str], int] = {}
+    while True:
+        made = _with_surrogates(forms, key, dict(attempts), lifelike)
+        shared = made.groupBy("pii_type", "same").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("keeps"), F.min("canon").alias("a"), F.max("canon").alias("b")).filter("a <> b")
+        lost = made.join(shared, ["pii_type", "same"]).filter("canon <> keeps").select("pii_type", "canon").distinct().limit(CLASH_LIMIT + 1).collect()
+        if not lost:
+            return attempts
+        for r in lost:
+            attempts[r.pii_type, r.canon] = attempts.get((r.pii_type, r.canon), 0) + 1
+        if len(attempts) > CLASH_LIMIT:
+            raise ValueError(f"more than {CLASH_LIMIT} entities share surrogates: use placeholders")
+
+
+def surrogate_table(found: DataFrame, secret: str, doc_col: str = "doc_id", lifelike: bool = False) -> DataFrame:
+    """(pii_type, canon[, entity], occurrences, documents, surrogate): one row per distinct entity of the corpus, if lifelike per form of it.
+
+    The surrogates are those of ``pseudonymised``: such that two entities share are made anew for all but one of them, until none is shared.
     """
-    distinct = found.groupBy("pii_type", "canon").agg(F.count("*").alias("occurrences"), F.countDistinct(doc_col).alias("documents"))
-    code = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(secret), "pii_type", "canon"), 256), 1, 12)
-    first = distinct.withColumn("code", code)
-    shared = first.groupBy("pii_type", "code").agg(F.count("*").alias("n"), F.min("canon").alias("keeps")).filter("n > 1")
-    fixed = first.join(shared, ["pii_type", "code"], "left").withColumn("code", F.when(F.col("n").isNull() | (F.col("canon") == F.col("keeps")), F.col("code")).otherwise(F.sha2(F.concat_ws("\x1f", F.lit(secret), "pii_type", "canon", F.lit("again")), 256)))
-    return fixed.select("pii_type", "canon", "occurrences", "documents", F.concat(F.lit("["), F.upper("pii_type"), F.lit("_"), "code", F.lit("]")).alias("surrogate"))
+    forms = _forms(found, doc_col, lifelike).persist(StorageLevel.MEMORY_AND_DISK)
+    made = _with_surrogates(forms, secret.encode(), _attempts(forms, secret.encode(), lifelike), lifelike)
+    return made.select("pii_type", "canon", *(["entity"] if lifelike else []), "occurrences", "documents", "surrogate")
 
 
 def pseudonymised(documents: DataFrame, secret: str, doc_col: str = "doc_id", text_col: str = "text", names: Names | None = None, lifelike: bool = False) -> DataFrame:
@@ -334,18 +376,30 @@ def pseudonymised(documents: DataFrame, secret: str, doc_col: str = "doc_id", te
     names = names or learned_names(documents, doc_col, text_col)
     key = secret.encode()
     rows = documents.select(F.col(doc_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    spans = "array<struct<a: int, b: int, pii_type: string, canon: string, entity: string>>"
+    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("pii_type", pa.string()), ("canon", pa.string()), ("entity", pa.string())]))
 
-    def one(text: str) -> tuple[str, int]:
-        out, at, n = [], 0, 0
-        for a, e, k in entities(text, names):
-            d = keyed(key, k, canonical(text[a:e], k))
-            out += [text[at:a], realistic(text[a:e], d) if lifelike else placeholder(k, d)]
-            at, n = e, n + 1
-        return "".join([*out, text[at:]]), n
-
-    def run(batches):
+    def find(batches):
         for b in batches:
-            done = [one(t) if t else (t, 0) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in done], pa.int32()), pa.array([t for t, _ in done], pa.string())], names=["__id", "entities", "__text"])
+            got = [[{"a": a, "b": e, "pii_type": k, "canon": canonical(t[a:e], k), "entity": t[a:e]} for a, e, k in entities(t, names)] if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, span)], names=["__id", "__text", "spans"])
 
-    return rows.mapInArrow(run, "__id long, entities int, __text string").withColumnRenamed("__id", doc_col).withColumnRenamed("__text", text_col)
+    # kept, as entities must be known over the whole corpus before the first is replaced
+    marked = rows.mapInArrow(find, f"__id long, __text string, spans {spans}").persist(StorageLevel.MEMORY_AND_DISK)
+    forms = _forms(marked.select("__id", F.explode("spans").alias("s")).select("__id", "s.*"), "__id", lifelike)
+    attempts = _attempts(forms, key, lifelike)
+
+    def replace(batches):
+        for b in batches:
+            texts, counts = [], []
+            for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                out, at = [], 0
+                for s in found:
+                    k, c = s["pii_type"], s["canon"]
+                    out += [t[at : s["a"]], surrogate(s["entity"], k, c, key, attempts.get((k, c), 0), lifelike)]
+                    at = s["b"]
+                texts.append("".join([*out, t[at:]]) if t else t)
+                counts.append(len(found))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(texts, pa.string())], names=["__id", "entities", "__text"])
+
+    return marked.mapInArrow(replace, "__id long, entities int, __text string").withColumnRenamed("__id", doc_col).withColumnRenamed("__text", text_col)

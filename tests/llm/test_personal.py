@@ -78,3 +78,13 @@ def test_name_of_one_place(spark):
 def test_spelt_out_emails(at, dot):
     mail = f"mara{at}example{dot}com"
     assert got(f"mail {mail}, please") == [(mail, "email")]
+
+
+@pytest.mark.parametrize("lifelike", [False, True])
+def test_texts_have_the_surrogates_of_the_table(spark, lifelike):
+    people = [f"{g}l {f}o" for g in "AEIOU" for f in "BCDFGHKLM"]  # 45 of 80 surrogates of their form
+    df = spark.createDataFrame([(i, f"Author: {p} <") for i, p in enumerate(people)], "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.text[len("Author: ") : -2] for r in personal.pseudonymised(df, "k", lifelike=lifelike).collect()}
+    assert len(set(out.values())) == len(people)
+    table = personal.surrogate_table(personal.personal_entities(df, with_text=True), "k", **({"lifelike": True} if lifelike else {})).collect()
+    assert {r.surrogate for r in table} == set(out.values())
