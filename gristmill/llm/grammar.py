@@ -19,8 +19,19 @@ PAREN, BRACKET, BRACE = 0xE000, 0xE100, 0xE200
 NBITS = {PAREN: 5, BRACKET: 2, BRACE: 7}
 
 
+def code(mask: int, bits: int) -> int:
+    """Place of a set of roles among the characters of its kind of bracket: the first role has the highest bit, so that the roles asked for most are few ranges."""
+    return int(f"{mask:0{bits}b}"[::-1], 2)
+
+
+def ranges(base: int, bit: int, bits: int) -> str:
+    """Pattern of the characters whose roles hold one; ranges, as long lists of characters are slow to compile."""
+    low = code(bit, bits)
+    return "[" + "".join(f"{chr(base + h + low)}-{chr(base + h + 2 * low - 1)}" for h in range(0, 1 << bits, 2 * low)) + "]"
+
+
 def group(base: int, bit: int) -> str:
-    return "[" + "".join(chr(base + m) for m in range(1, 1 << NBITS[base]) if m & bit) + "]"
+    return ranges(base, bit, NBITS[base])
 
 
 PE, PD, PH, PT, PG = (group(PAREN, 1 << i) for i in range(5))
@@ -45,7 +56,7 @@ class Grammar:
         inner = self.prepare(text[1:-1], text[0])
         base, roles = self.of[text[0]]
         mask = sum(bit for bit, p in roles if p.fullmatch(inner))
-        return chr(base + mask) if mask else BAD
+        return chr(base + code(mask, NBITS[base])) if mask else BAD
 
     def _whole(self, text: str) -> bool:
         return bool(self.top.fullmatch(self.prepare(text, "")))
@@ -240,7 +251,17 @@ def _c() -> Grammar:
     return Grammar("c", paren, bracket, brace, top, lambda s, k: s.replace("#", ""))
 
 
-GRAMMARS = {"js": _script(False), "ts": _script(True), "java": _java(), "go": _go(), "c": _c()}
+class Grammars(dict):
+    """Grammars by language, each compiled where it is first asked for."""
+
+    made = {"js": lambda: _script(False), "ts": lambda: _script(True), "java": _java, "go": _go, "c": _c}
+
+    def __missing__(self, lang: str):
+        self[lang] = g = self.made[lang]()
+        return g
+
+
+GRAMMARS = Grammars()
 
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 _HAS = re.compile(r"[()\[\]{}]")

@@ -1,8 +1,9 @@
 """Problem 2: source files that do not parse.
 
-``parses`` judges one text.  ``syntax_verdicts`` judges every row of a DataFrame: rows up
-to ``chunk_chars`` characters in one step, longer ones in chunks that are lexed and reduced
-apart (see ``chunk_states``), then joined in order.
+``parses`` judges one text: its shape, brackets reduced, then its statements by the local grammar of its language.
+``syntax_verdicts`` judges every row of a DataFrame: a text of one chunk where it lies, a longer one in chunks that are
+lexed and reduced apart (see ``chunk_states``), spread over the cluster, then joined in order.  Python is judged like
+the other languages; no parser of a compiler takes part, and no depth of nesting is too deep.
 
 Defined results: null content gives no row; empty content is a valid file except in Go, which
 asks for a package clause; text of an extension that is no language here gives no row; columns
@@ -16,51 +17,41 @@ import re
 import warnings
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm import grammar
-from gristmill.llm.shapes import BAD, shape
+from gristmill.llm import grammar, pygrammar, shapes
+from gristmill.llm.shapes import BAD
 from gristmill.session import spread
 
 LANGUAGES = {".py": "python", ".js": "js", ".ts": "ts", ".java": "java", ".go": "go", ".c": "c", ".h": "c"}
 SOURCE = r"(?i)\.(?:py|js|ts|java|go|c|h)$"
-CHUNK_CHARS = 1 << 18
+#: Characters of a chunk, about: what is lexed at once.
+CHUNK_CHARS = 1 << 13
 
-_PY = re.compile(
-    r'(?P<skip>#[^\n]*)|[rRbBuUfF]{0,2}(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\[\s\S])*+"|\'(?:[^\'\\\n]|\\[\s\S])*+\')|(?P<b>[()\[\]{}])|(?P<bad>["\'])'
-)
-_PAIR = {")": "(", "]": "[", "}": "{"}
-
-
-def python_brackets(text: str) -> str | None:
-    """The bracket summary of Python text that begins outside strings; None if a string is not ended."""
-    stack: list[str] = []
-    for m in _PY.finditer(text):
-        kind = m.lastgroup
-        if kind == "bad":
-            return None
-        if kind == "b":
-            b = m[0]
-            if b in "([{":
-                stack.append(b)
-            elif stack and stack[-1] == _PAIR[b]:
-                stack.pop()
-            else:
-                stack.append(b)
-    return "".join(stack)
+def shape(text: str, lang: str) -> str:
+    """The shape of a text or chunk that begins outside strings and comments."""
+    return pygrammar.shape(text) if lang == "python" else shapes.shape(text, lang)
 
 
 def python_tree(text: str) -> ast.Module | None:
-    """The tree of a Python text, None if it breaks the grammar."""
+    """The tree of a Python text, None if it breaks the grammar; of a text nested too deep for CPython's parser, the tree without its plain statements."""
+    text = text[1:] if text[:1] == "\ufeff" else text
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            return ast.parse(text[1:] if text[:1] == "﻿" else text)
+            return ast.parse(text)
         except (SyntaxError, ValueError):
             return None
         except (RecursionError, MemoryError):
-            return ast.Module(body=[], type_ignores=[])  # too deep to judge, which is no error of the file
+            pass
+        if not parses(text, "python"):
+            return None
+        try:
+            return ast.parse(pygrammar.outline(text.replace("\r\n", "\n").replace("\r", "\n")))
+        except (SyntaxError, RecursionError, MemoryError):  # too deep in a header itself
+            return ast.Module(body=[], type_ignores=[])
 
 
 def language(path: str | None) -> str | None:
@@ -68,12 +59,15 @@ def language(path: str | None) -> str | None:
     return LANGUAGES.get(path[dot:].lower()) if dot >= 0 else None
 
 
-def parses(text: str, lang: str) -> bool:
-    if lang == "python":
-        # the bracket summary of the one chunk; what it leaves open is confirmed, as quotes within f-strings can mislead it
-        return (python_brackets(text) == "" or "f" in text or "F" in text) and python_tree(text) is not None
+def plain(text: str, lang: str) -> str:
+    """Text with line ends made one and without a byte order mark; a Python text begins with a line end, which carries the first indentation."""
     text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    return grammar.accepted(grammar.reduced(shape(text, lang), lang), lang)
+    text = text[1:] if text[:1] == "\ufeff" else text
+    return "\n" + text if lang == "python" else text
+
+
+def parses(text: str, lang: str) -> bool:
+    return grammar.accepted(grammar.reduced(shape(plain(text, lang), lang), lang), lang)
 
 
 # ---------------------------------------------------------------- chunks of large files
@@ -87,7 +81,7 @@ STATES = {
 }
 STATES["ts"] = STATES["js"]
 _OPENED = {
-    "python": re.compile(r'#[^\n]*|[rRbBuUfF]{0,2}(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|(?!"""|\'\'\')(?:"(?:[^"\\\n]|\\[\s\S])*+"|\'(?:[^\'\\\n]|\\[\s\S])*+\'))|(?P<o>"""|\'\'\')'),
+    "python": re.compile(r'#[^\n]*|[rRbBuUfF]{0,2}(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|(?!"""|\'\'\')(?:"(?:[^"\\\n]|\\[\s\S])*+"|\'(?:[^\'\\\n]|\\[\s\S])*+\'))|[rRbBuUfF]{0,2}(?P<o>"""|\'\'\')'),
     "go": re.compile(r'//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|"(?:[^"\\\n]|\\[^\n])*+"|\'(?:[^\'\\\n]|\\[^\n])*+\'|`[^`]*+`|(?P<o>/\*|`)'),
     "java": re.compile(r'//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|(?!""")"(?:[^"\\\n]|\\[^\n])*+"|\'(?:[^\'\\\n]|\\[^\n])*+\'|(?P<o>/\*|""")'),
     "js": re.compile(r'//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|"(?:[^"\\\n]|\\[\s\S])*+"|\'(?:[^\'\\\n]|\\[\s\S])*+\'|`(?:[^`\\]|\\[\s\S])*+`|[=(,:\[!&|?;+]\s*/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/|(?P<o>/\*|`)'),
@@ -96,17 +90,17 @@ _OPENED = {
 _OPENED["ts"] = _OPENED["js"]
 
 
-def cut_lines(text: str, size: int) -> list[str]:
-    """Cut text into chunks of about ``size`` characters at line ends that no backslash continues."""
-    out, at = [], 0
+def cut_lines(text: str, size: int, lang: str = "") -> list[str]:
+    """Cut text into chunks of about ``size`` characters at line ends that no backslash continues; a line end of Python begins the next chunk, as it carries its indentation."""
+    out, at, own = [], 0, 0 if lang == "python" else 1
     while len(text) - at > size:
         end = text.find("\n", at + size - 1)
         while end > 0 and text[end - 1] == "\\":
             end = text.find("\n", end + 1)
         if end < 0:
             break
-        out.append(text[at : end + 1])
-        at = end + 1
+        out.append(text[at : end + own])
+        at = end + own
     return [*out, text[at:]]
 
 
@@ -131,13 +125,9 @@ def chunk_states(text: str, lang: str) -> dict[str, tuple[str, str]]:
         end = "code"
         for m in _OPENED[lang].finditer(body):
             if m.lastgroup == "o":
-                end, body = m[0], body[: m.start()]
+                end, body = m["o"], body[: m.start()]
                 break
-        if lang == "python":
-            s = python_brackets(body)
-            out[state] = (BAD if s is None else s, end)
-        else:
-            out[state] = (grammar.reduced(lead + shape(body, lang), lang), end)
+        out[state] = (grammar.reduced(lead + shape(body, lang), lang), end)
     return out
 
 
@@ -146,22 +136,13 @@ def joined(a: dict[str, tuple[str, str]], b: dict[str, tuple[str, str]], lang: s
     out = {}
     for state, (s, mid) in a.items():
         t, end = b[mid]
-        if lang == "python":
-            stack = list(s)
-            for ch in t:
-                if ch in _PAIR and stack and stack[-1] == _PAIR[ch]:
-                    stack.pop()
-                else:
-                    stack.append(ch)
-            out[state] = (BAD if BAD in s + t else "".join(stack), end)
-        else:
-            out[state] = (grammar.reduced(s + t, lang), end)
+        out[state] = (BAD if BAD in (s, t) else grammar.reduced(s + t, lang), end)
     return out
 
 
 def accepted_map(m: dict[str, tuple[str, str]], lang: str) -> bool:
     s, end = m["code"]
-    return end == "code" and (not s if lang == "python" else grammar.accepted(s, lang))
+    return end == "code" and grammar.accepted(s, lang)
 
 
 # ---------------------------------------------------------------- Spark
@@ -180,67 +161,67 @@ def _small(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(langs, pa.string()), pa.array(ok, pa.bool_())], names=[*(b.schema.names[i] for i in keep), "language", "parses"])
 
 
+_MAP = pa.schema([("states", pa.list_(pa.string())), ("shapes", pa.list_(pa.string())), ("ends", pa.list_(pa.string()))])
+
+
 def _cut(size: int):
+    """Rows of (kept columns, __n, language, __chunk) for each chunk of a row."""
+
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                lang, text = language(row["__path"]), row["__text"]
-                text = text.replace("\r\n", "\n").replace("\r", "\n")
-                for i, t in enumerate(cut_lines(text, size) if divisible(text, lang) else [text]):
-                    yield pa.RecordBatch.from_pylist([{"__id": row["__id"], "__row": row["__row"], "language": lang, "__n": i, "__chunk": t}], schema=_CHUNK)
+            at, ns, langs, chunks = [], [], [], []
+            for i, (path, text) in enumerate(zip(b.column("__path").to_pylist(), b.column("__text").to_pylist())):
+                lang = language(path)
+                text = plain(text, lang)
+                for n, t in enumerate(cut_lines(text, size, lang) if divisible(text, lang) else [text]):
+                    at.append(i)
+                    ns.append(n)
+                    langs.append(lang)
+                    chunks.append(t)
+            kept = b.drop_columns(["__path", "__text"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ns, pa.int32()), pa.array(langs, pa.string()), pa.array(chunks, pa.string())], names=[*kept.schema.names, "__n", "language", "__chunk"])
 
     return run
 
 
-_CHUNK = pa.schema([("__id", pa.int64()), ("__row", pa.int64()), ("language", pa.string()), ("__n", pa.int32()), ("__chunk", pa.string())])
-
-
 def _maps(batches):
+    """Chunks as their lexer-state maps."""
     for b in batches:
-        rows = []
-        for r in b.to_pylist():
-            m = chunk_states(r["__chunk"], r["language"])
-            rows.append({"__id": r["__id"], "__row": r["__row"], "language": r["language"], "__n": r["__n"], "states": list(m), "shapes": [x[0] for x in m.values()], "ends": [x[1] for x in m.values()]})
-        yield pa.RecordBatch.from_pylist(rows, schema=_MAP)
-
-
-_MAP = pa.schema([("__id", pa.int64()), ("__row", pa.int64()), ("language", pa.string()), ("__n", pa.int32()), ("states", pa.list_(pa.string())), ("shapes", pa.list_(pa.string())), ("ends", pa.list_(pa.string()))])
+        got = [chunk_states(t, g) for t, g in zip(b.column("__chunk").to_pylist(), b.column("language").to_pylist())]
+        cols = [[list(m) for m in got], [[x[0] for x in m.values()] for m in got], [[x[1] for x in m.values()] for m in got]]
+        kept = b.drop_columns(["__chunk"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(cols, _MAP.types))], names=[*kept.schema.names, *_MAP.names])
 
 
 def _join_maps(t: pa.Table) -> pa.Table:
-    rows = sorted(t.to_pylist(), key=lambda r: r["__n"])
-    lang = rows[0]["language"]
-    maps = [dict(zip(r["states"], zip(r["shapes"], r["ends"]))) for r in rows]
+    """Equal rows have equal chunks: one of each is joined, and each row gets the verdict."""
+    first = {n: i for i, n in reversed(list(enumerate(t.column("__n").to_pylist())))}
+    states, shapes_, ends = (t.column(c).to_pylist() for c in _MAP.names)
+    lang = t.column("language")[0].as_py()
+    maps = [dict(zip(states[i], zip(shapes_[i], ends[i]))) for _, i in sorted(first.items())]
     while len(maps) > 1:  # a balanced tree keeps what is reduced again short
         maps = [joined(maps[i], maps[i + 1], lang) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return pa.table({"__row": [rows[0]["__row"]], "__ok": [accepted_map(maps[0], lang)]}, schema=pa.schema([("__row", pa.int64()), ("__ok", pa.bool_())]))
+    rows = t.filter(pc.equal(t.column("__n"), 0)).drop_columns(["__row", "__n", *_MAP.names])
+    return rows.append_column("parses", pa.array([accepted_map(maps[0], lang)] * len(rows), pa.bool_()))
 
 
 def syntax_verdicts(files: DataFrame, id_col: str = "file_id", path_col: str = "path", content_col: str = "content", keep: tuple[str, ...] = (), chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(``id_col``, *keep*, language, parses): one row for each source file with content.
 
-    Files above ``chunk_chars`` are cut, their chunks spread over the cluster and only the lexer-state
-    maps shuffled back by file; a balanced Python file is then parsed whole.
+    Texts above ``chunk_chars`` are cut, their chunks spread over the cluster and only the lexer-state maps shuffled back by file.
     """
     rows = source_files(files, id_col, path_col, content_col, keep)
     types = dict(rows.dtypes)
-    schema = ", ".join([f"__id {types['__id']}", *(f"`{k}` {types[k]}" for k in keep), "language string", "parses boolean"])
+    head = [f"__id {types['__id']}", *(f"`{k}` {types[k]}" for k in keep)]
+    schema = ", ".join([*head, "language string", "parses boolean"])
     size = F.length("__text")
     small = rows.filter(size <= chunk_chars).mapInArrow(_small, schema)
+    # rows that are equal in all that is judged share a key and one set of maps, so that no id need be made up
     big = rows.filter(size > chunk_chars).withColumn("__row", F.xxhash64("__id", "__path", "__text"))
-    chunks = big.select("__id", "__row", "__path", "__text").dropDuplicates(["__row"]).mapInArrow(_cut(chunk_chars), "__id long, __row long, language string, __n int, __chunk string").repartition(F.col("__row"), F.col("__n"))
-    maps = chunks.mapInArrow(_maps, "__id long, __row long, language string, __n int, states array<string>, shapes array<string>, ends array<string>")
-    lexed = maps.groupBy("__row").applyInArrow(_join_maps, "__row long, __ok boolean")
-
-    def confirm(batches):
-        for b in batches:
-            names = [n for n in b.schema.names if n not in ("__path", "__text", "__row", "__ok")]
-            langs = [language(p) for p in b.column("__path").to_pylist()]
-            ok = [bool(k) or g == "python" and "\x00" not in t for k, g, t in zip(b.column("__ok").to_pylist(), langs, b.column("__text").to_pylist())]
-            ok = [k and (g != "python" or python_tree(t) is not None) for k, g, t in zip(ok, langs, b.column("__text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(langs, pa.string()), pa.array(ok, pa.bool_())], names=[*names, "language", "parses"])
-
-    large = big.join(lexed, "__row").mapInArrow(confirm, schema)
+    chunk = ", ".join([*head, "__row long, __n int, language string"])
+    chunks = big.mapInArrow(_cut(chunk_chars), f"{chunk}, __chunk string").repartition("__row", "__n")
+    maps = chunks.mapInArrow(_maps, f"{chunk}, states array<string>, shapes array<string>, ends array<string>")
+    large = maps.groupBy("__id", "__row").applyInArrow(_join_maps, schema)
     return small.unionByName(large).withColumnRenamed("__id", id_col)
 
 

@@ -71,8 +71,8 @@ def test_chunks_agree_with_the_whole(lang):
         if rng.random() < 0.7:  # damage
             k = rng.randrange(len(text))
             text = rng.choice([text[:k], text[:k] + text[k + 1 :], text[:k] + rng.choice("(){}\"'`*/") + text[k:]])
-        maps = [parsing.chunk_states(c, lang) for c in parsing.cut_lines(text, rng.choice([40, 90, 200]))]
-        whole = parsing.parses(text, lang) if lang != "python" else parsing.python_brackets(text) == ""
+        maps = [parsing.chunk_states(c, lang) for c in parsing.cut_lines(parsing.plain(text, lang), rng.choice([40, 90, 200]), lang)]
+        whole = parsing.parses(text, lang)
         left = maps[0]
         for m in maps[1:]:
             left = parsing.joined(left, m, lang)
@@ -83,6 +83,44 @@ def test_chunks_agree_with_the_whole(lang):
         assert parsing.accepted_map(tree[0], lang) == whole, text
 
 
+# Every text is judged as CPython's parser judges it.
+PYTHON = [
+    "x = yield\n", "async def f(a, /, b: int = 1, *c, d, e=2, **g) -> x[1]:\n    async with a as b, c() as (d, e):\n        pass\n    async for x, *y in z: await x\n    return [i async for i in a if b if c]\n", "with (open(a) as b, c):\n  pass\n", "@a.b(c)\n@d\nclass A[T: int](B, metaclass=C): x: int = 1; y = 2\n",
+    "try:\n    a\nexcept* (A, B) as c:\n    b\nelse:\n    c\nfinally:\n    d\n", "if a:\n\tb\nelif c: d\nelse:\n\te\n", "x = lambda *a, b=1, **c: (y := a) if b else lambda: 0\n", "a, *b = c = d[1:2, ::3, ...]\n", "f(a, *b, c=1, **d)\nf(x for x in y)\nprint(*a, sep='')\n",
+    "match = case = 1\nmatch x, y:\n    case A(b=1) | {'k': v, **r} if z: pass\n    case [1, *_] as q: pass\n    case (a as b): pass\n", "x = f'{a!r:>{w}} {b=} {{}} {c[\"d\"]:%Y}'\n", "x = 'C:\\\\Users' rb'\\x' if 0 else 1_0.5e-3j\n", "from . import (a as b,\n  c,)\nfrom .. import d\nfrom ...e.f import *\nimport g.h as i, j\n",
+    "del a.b, c[0], (d, e)\nassert a, b\nraise A from b\nglobal q\n", "type X[T] = list[T]\n", "for x in a, b:\n  continue\nelse:\n  pass\nwhile a: break\n", "x = a \\\n  + b\nif a: \\\n  b\n", "not a not in b is not c\n", "class A:\n\n  def f(self): ...\n# c\n      # d\n  x = 1\n", "print >>f, x\n",
+    "f(a=1, b)\n", "f(**a, *b)\n", "def f(a=1, b): pass\n", "f() = 1\n", "None = 1\n", "a + 1 += 2\n", "x = 01\n", "try:\n  a\nb\n", "if a:\nb\n", "  a\n", "if a:\n    b\n  c\n", "if a:\n\tb\n        c\n", "else:\n  a\n", "@a\nx = 1\n", "x = 'C:\\Users'\n", "f'{a'\n", "f'{}'\n", "x = (y = 1)\n", "import a.b as c.d\n",
+    "class A(: pass\n", "lambda x: = 1\n", "return return\n", "x = 1 if 2\n", "match x:\n  a\n", "b'\u00e9'\n", "a b\n", "x = [1 2]\n", "del f()\n", "for f() in x: pass\n", "def f(x) -> : pass\n",
+]
+
+
+@pytest.mark.parametrize("text", PYTHON)
+def test_python_agrees_with_cpython(text):
+    assert parsing.parses(text, "python") == (parsing.python_tree(text) is not None)
+
+
+def test_python_sources_and_damaged_ones():
+    import inspect
+    import json.decoder
+    import textwrap
+
+    rng = random.Random(3)
+    for mod in (textwrap, json.decoder, random):
+        text = inspect.getsource(mod)
+        assert parsing.parses(text, "python")
+        for _ in range(30):
+            k = rng.randrange(len(text))
+            bad = rng.choice([text[:k], text[:k] + text[k + 1 :], text[:k] + rng.choice("(){}\"'`:=,. \n") + text[k:]])
+            assert parsing.parses(bad, "python") == (parsing.python_tree(bad) is not None), bad[k - 40 : k + 40]
+
+
+def test_nesting_is_never_too_deep():
+    deep = "def f(a):\n    '''d'''\n    x = " + "- " * 100_000 + "1\n    return " + "(" * 3000 + "a" + ")" * 3000 + "\n"
+    assert parsing.parses(deep, "python") and not parsing.parses(deep[:-2], "python")
+    assert [type(x).__name__ for x in parsing.python_tree(deep).body[0].body] == ["Expr", "Pass", "Pass"]
+    assert parsing.parses("x = " + "[" * 3000 + "]" * 3000 + ";", "js") and not parsing.parses("x = " + "[" * 3000 + "]" * 2999 + ";", "js")
+
+
 def test_summary_of_a_chunk():
     assert grammar.owed(grammar.reduced(shape("} else { f(", "js"), "js")) == "}{("
 
