@@ -1,10 +1,12 @@
 """Problem 4: generated, minified or vendored source files.
 
 A file is not written by hand if its leading comment says that a tool made it, if it is minified, if it
-holds little but literal data, or if it is a copy of a library file.  Copies are told by winnowing: the
-token stream without comments and layout is hashed in runs of ``RUN`` tokens, the least hash of every
-``PICK`` neighbouring runs is a fingerprint, and a file is vendored if at least ``LEAST_SHARE`` of its
-fingerprints lie in ``LEAST_REPOS`` or more repositories of different names.
+holds little but literal data, if it is one template filled in again and again, or if it is a copy of a library file.
+All but the first two are told from the token stream without comments and layout, hashed in runs of ``RUN`` tokens.
+Copies are told by winnowing: the least hash of every ``PICK`` neighbouring runs is a fingerprint, and a file is
+vendored if at least ``LEAST_SHARE`` of its fingerprints lie in ``LEAST_REPOS`` or more repositories of different
+names.  Templates are told by the runs of token classes (each name, number and string alike): a file is generated
+if at least ``LEAST_RECUR`` of its runs stand in it three times or more.
 
 Defined results: null and empty content, other extensions and files that do not parse are no cases; rows
 whose repository is unknown count as one repository; repeated rows are judged each.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import grammar
-from gristmill.llm.parsing import language, python_tree, source_files
+from gristmill.llm.parsing import language, plain, source_files
 from gristmill.llm.shapes import BAD, CLASSES, TOKENS, flat_templates, preprocessed, records
 
 #: Runs are short, as every edited token spoils all runs that hold it.
@@ -32,6 +34,8 @@ RUN, PICK = 12, 12
 LEAST_SHARE, LEAST_REPOS = 0.7, 3
 #: Tokens below which a stream is too short to tell a copy from a coincidence.
 LEAST_TOKENS = 30
+#: Share of runs of token classes that recur within a text of a tool (of written texts it is a quarter at most, as a rule), and tokens below which a few like lines have it too.
+LEAST_RECUR, LEAST_TEMPLATE = 0.75, 90
 
 # What leading comments of made files say: fixed wordings.
 _MADE = re.compile(
@@ -40,34 +44,9 @@ _MADE = re.compile(
     r"|\b(?:do\s+not|don't|never)\s+(?:edit|modify|change|alter|touch)\b|\bnot\s+to\s+be\s+edited\b|\bchanges\s+(?:will|would)\s+be\s+(?:lost|overwritten)\b|\bany\s+(?:manual\s+)?(?:changes|edits)\s+will\s+be"
     r"|\bautomatisch\s+(?:erzeugt|erstellt|generiert)\b|\bnicht\s+(?:von\s+hand\s+)?(?:bearbeiten|ändern|editieren)\b|\bg[ée]n[ée]r[ée]e?\s+(?:automatiquement|par)\b|\bautomatiquement\s+g[ée]n[ée]r|\bne\s+pas\s+(?:modifier|[ée]diter)\b|\bgenerad[oa]\s+(?:autom[aá]ticamente|por)\b|\bautom[aá]ticamente\s+generad|\bno\s+(?:editar|modificar)\b)"
 )
-_PY = re.compile(
-    r"#[^\n]*|[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+')|[^\W\d]\w*|\.?\d(?:[eE][+-]|[\w.])*|[-+*/%&|^<>=!:@]+=?|\S"
-)
 _VENDOR_DIR = re.compile(r"(?i)(?:^|/)(?:vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|extern|deps|jspm_packages|site-packages)/")
 
 
-# Names that tools give to files and folders, types numbered from 0, and fields numbered one after another, without any control flow between.
-_MADE_PATH = re.compile(r"(?i)(?:_pb2(?:_grpc)?\.py|\.pb\.(?:go|c|h|js|ts)|[._-](?:gen|generated|g)\.[a-z]+)$|(?:^|/)(?:gen|generated|autogen|codegen|__generated__)/")
-_NUMBERED_TYPE = re.compile(r"\b(?:class|struct|type|interface|enum|const|message|record)\s+[A-Za-z_]*?[A-Za-z_](\d+)\b")
-_FLOW = re.compile(r"\b(?:if|for|while|switch|return|else)\b")
-_FIELD_NO = re.compile(r"^[^\n]*?[=:`\"( ](\d+)[^\w\n]*$", re.M)
-
-
-def tool_shaped(text: str, path: str) -> bool:
-    """Whether a text without a telling comment has the form of tool output: numbered types or fields and nothing done with them."""
-    if _FLOW.search(text):
-        return False
-    types = [int(x) for x in _NUMBERED_TYPE.findall(text)]
-    in_order = bool(types) and types == list(range(types[0], types[0] + len(types))) and types[0] in (0, 1)
-    named = bool(_MADE_PATH.search(path))
-    if in_order and (len(types) >= 2 or named):
-        return True
-    fields = [int(x) for x in _FIELD_NO.findall(text)]
-    lines = sum(1 for x in text.split("\n") if x.strip())
-    steps = sum(b == a + 1 for a, b in zip(fields, fields[1:]))
-    return named and steps >= 3 and steps >= 0.3 * lines
-
-
 class CRC(dict):
     """Number of a token, the same in every process."""
 
@@ -87,72 +66,81 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _runs(one: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of twelve neighbours."""
+    two = _mixed(one[:-1], one[1:])
+    four = _mixed(two[:-2], two[2:])
+    eight = _mixed(four[:-4], four[4:])
+    return _mixed(eight[:-4], four[8:])
+
+
 def fingerprints(stream: list[str]) -> list[int]:
     """Winnowed fingerprints of a token stream."""
     if len(stream) < LEAST_TOKENS:
         return []
-    one = np.fromiter(map(_CRC.__getitem__, stream), dtype=np.uint64, count=len(stream))
-    two = _mixed(one[:-1], one[1:])
-    four = _mixed(two[:-2], two[2:])
-    eight = _mixed(four[:-4], four[4:])
-    h = _mixed(eight[:-4], four[8:])  # runs of twelve
+    h = _runs(np.fromiter(map(_CRC.__getitem__, stream), dtype=np.uint64, count=len(stream)))
     n = len(h)
     if n > PICK:
-        h = np.lib.stride_tricks.sliding_window_view(h, PICK).min(axis=1)
+        for step in (1, 2, 4, 4):  # the least of twelve neighbours
+            h = np.minimum(h[:-step], h[step:])
     else:
         h = h.min(keepdims=True)
     return np.unique(h).view(np.int64).tolist()
 
 
+def recurring(kinds: str) -> float:
+    """Share of the runs of token classes that stand three times or more in the text."""
+    if len(kinds) < LEAST_TEMPLATE:
+        return 0.0
+    h = np.sort(_runs(np.frombuffer(kinds.encode("utf-32-le"), np.uint32).astype(np.uint64)))
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+    n = np.diff(at)
+    return float(n[n >= 3].sum() / len(h))
+
+
 def leading(comments: list[str]) -> bool:
     return any(_MADE.search(re.sub(r"\s*\n\s*(?:\*|//+|#+)?\s*", " ", c)) for c in comments)
 
 
-def made_kind(text: str, lang: str, path: str = "") -> tuple[str, list[str]] | None:
+_LINE_ENDS = re.compile("n|[\U000f0000-\U0010fffd]+")
+_COMMENT_LINE = re.compile(r"\s*(?://|#|\*|/\*)")
+
+
+def made_kind(text: str, lang: str) -> tuple[str, list[str]] | None:
     """(generated, minified, data or '', token stream without comments) of a text; None if it does not parse."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    if text[:1] == "﻿":
-        text = text[1:]
-    if lang == "python":
-        if python_tree(text) is None:
-            return None
-        toks = _PY.findall(text)
-        stream = [t for t in toks if t[0] != "#" and t != "\\"]
-        lead = list(takewhile(lambda t: t[0] == "#", toks))
-        quoted = [t for t in stream if t[-1] in "\"'"]
-        counted = [t for t in stream if t[0] in "0123456789." and t[-1] not in "\"'" and t != "."]
-        literal, numbers = sum(map(len, quoted)) + sum(map(len, counted)), len(counted)
-        names = sum(map(str.isidentifier, stream))
-    else:
-        src = preprocessed(text) if lang == "c" else records(text) if lang == "java" else flat_templates(text) if lang in ("js", "ts") and "${" in text else text
-        if lang in ("js", "ts") and src.startswith("#!"):
-            src = "//" + src[2:]
-        toks = TOKENS[lang].findall(src)
-        kinds = list(map(CLASSES[lang].__getitem__, toks))
-        s = "".join(kinds)
-        if BAD in s or not grammar.accepted(grammar.reduced(s, lang), lang):
-            return None
-        pairs = [(t, k) for t, k in zip(toks, kinds) if k and k != "n"]  # comments and line ends are left out
-        stream = [t for t, _ in pairs]
-        lead = [t for t in takewhile(lambda t: t[:2] in ("//", "/*") or t.isspace(), toks) if not t.isspace()]
-        literal = sum(len(t) for t, k in pairs if k in "s0")
-        numbers, names = kinds.count("0"), kinds.count("a")
-    code = sum(map(len, stream))
-    if not stream:
-        return ("generated" if leading(lead) else "", stream)
-    if leading(lead):
+    text = plain(text, lang)
+    src = preprocessed(text) if lang == "c" else records(text) if lang == "java" else flat_templates(text) if lang in ("js", "ts") and "${" in text else text
+    if lang in ("js", "ts") and src.startswith("#!"):
+        src = "//" + src[2:]
+    toks = TOKENS[lang].findall(src)
+    kinds = list(map(CLASSES[lang].__getitem__, toks))
+    s = "".join(kinds)
+    if BAD in s or not grammar.accepted(grammar.reduced(s, lang), lang):
+        return None
+    python = lang == "python"
+    # comments and line ends are left out; a line end of Python is two characters
+    pairs = [(t, k) for t, k in zip(toks, kinds) if k and k != "n" and t[0] != "\n"] if python else [(t, k) for t, k in zip(toks, kinds) if k and k != "n"]
+    stream = [t for t, _ in pairs]
+    lead = [t for t in takewhile(lambda t: t[0] == "#" or t.isspace(), toks)] if python else [t for t in takewhile(lambda t: t[:2] in ("//", "/*") or t.isspace(), toks)]
+    if leading([t for t in lead if not t.isspace()]):
         return "generated", stream
-    lines = [x for x in text.split("\n") if x.strip()]
-    body = [x for x in lines if not x.lstrip().startswith(("//", "#", "*", "/*"))] or lines
+    if not stream:
+        return "", stream
+    code = sum(map(len, stream))
+    literal = sum(len(t) for t, k in pairs if k in "sB0")
+    numbers, names = kinds.count("0"), kinds.count("a")
+    if python:  # keywords are words as well
+        names = sum(map(str.isidentifier, stream))
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    body = [x for x in lines if not _COMMENT_LINE.match(x)] or lines
     dense = len(stream) / len(body)
-    blank = sum(map(len, re.findall(r"[ \t\n]+", text))) / max(1, len(text))
     share = literal / max(1, code)
     words = (len(stream) - names) / len(stream)
-    if code > 200 and dense >= 40 and blank < 0.15 and sum(map(len, body)) / len(body) >= 120 and share < 0.6:
+    if code > 200 and dense >= 40 and share < 0.6 and sum(map(len, body)) / len(body) >= 120 and sum(map(text.count, " \t\n")) < 0.15 * len(text):
         return "minified", stream
     if code >= 300 and ((share >= 0.72 and names <= 0.12 * len(stream) + 8) or (numbers >= 40 and numbers >= 0.36 * len(stream) and words > 0.85)):
         return "data", stream
-    return "generated" if tool_shaped(text, path) else "", stream
+    return "generated" if recurring(_LINE_ENDS.sub("", s)) >= LEAST_RECUR else "", stream
 
 
 # ---------------------------------------------------------------- Spark
@@ -164,7 +152,7 @@ def _profiles(files: DataFrame) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in schema.names]
             for i, path, text, repo in zip(*(b.column(c).to_pylist() for c in ("__id", "__path", "__text", "repo_id"))):
-                got = made_kind(text, language(path), path)
+                got = made_kind(text, language(path))
                 if got is None or not text.strip():
                     continue
                 prints = fingerprints(got[1])

@@ -8,8 +8,19 @@ LIB = "def load_{n}(a, b):\n    total = {n}\n    for i in range(a):\n        tot
 
 
 def module(seed, k=12):
+    """Functions as written by hand: no two of one form."""
     rng = random.Random(seed)
-    return "".join(f"def f_{rng.randrange(10**6)}(a_{rng.randrange(10**6)}, b):\n    c_{rng.randrange(10**6)} = g_{rng.randrange(10**6)}(a, {rng.randrange(10**6)})\n    return b_{rng.randrange(10**6)}[{rng.randrange(10**6)}]\n\n" for _ in range(k))
+    n = lambda: rng.randrange(10**6)
+    forms = [
+        lambda: f"    c_{n()} = g_{n()}(a, {n()})\n", lambda: f"    if a > {n()}:\n        b += [x_{n()}]\n", lambda: f"    for i_{n()} in range({n()}):\n        print(i, b)\n", lambda: f"    a.f_{n()}(b, key='k{n()}')\n", lambda: f"    d_{n()} = {{'x{n()}': b, 'y': [a, {n()}]}}\n",
+        lambda: f"    e_{n()} = [q for q in b if q != {n()}]\n", lambda: f"    assert isinstance(a, T_{n()})\n", lambda: f"    while h_{n()}(a):\n        a -= {n()}\n", lambda: f"    with open('p{n()}') as f:\n        b = f.read()\n", lambda: f"    w_{n()} = a[{n()}:] + b\n",
+    ]
+    return "".join(f"def f_{n()}({', '.join(['a', 'b', 'c', 'd'][: rng.randint(1, 4)])}):\n" + "".join(rng.choice(forms)() for _ in range(rng.randint(1, 4))) + f"    return b_{n()}[{n()}]\n\n" for _ in range(k))
+
+
+def template(seed, k=9):
+    rng = random.Random(seed)
+    return "".join(f"class Part{rng.randrange(99)}(Base):\n" + "".join(f"    F_{rng.randrange(999)} = {j}\n" for j in range(rng.randint(4, 7))) + "\n" for _ in range(k))
 
 
 @pytest.mark.parametrize(
@@ -17,12 +28,13 @@ def module(seed, k=12):
     [
         ("a.py", "# Code generated by x 1.2; DO NOT EDIT.\nx = 1\n", "generated"), ("a.go", "/*\n * Copyright X\n */\n// AUTOGENERATED FILE - changes will be lost\npackage a\n", "generated"), ("a.js", "// Diese Datei wird automatisch erzeugt (q 1.2). Nicht bearbeiten.\nlet a = 1\n", "generated"), ("a.java", "/* Machine-made by x; edit y.tmpl instead */\nclass A {}\n", "generated"), ("a.js", "/* @generated from x.schema */\na()\n", "generated"),
         ("a.py", '# the tables here are not generated, edit them freely\nBANNER = "# DO NOT EDIT: written by render"\nx = f(1)\n', ""), ("a.c", "// Auto-generated method stub\nint f(void) { return 1; }\n", ""), ("a.py", "x = 1\n# Code generated by x; DO NOT EDIT.\n", ""), ("a.py", "# Renaming x broke 12 callers, most of them in generated code.\nx = f(1)\n", ""),
-        ("gen/a_pb2.py", "class A0(M):\n    F_X = 1\n    F_Y = 2\n    F_Z = 3\n    F_W = 4\n", "generated"), ("a.js", "!function(){" + "".join(f"function a{i}(b){{for(var c=0;c<{i};c++)if(b[c]=={i})return!0;return!1}}" for i in range(20)) + "}();", "minified"),
+        ("a.py", template(3), "generated"), ("a.py", template(3) + module(5), ""),
+        ("a.go", "package a\n" + "".join(f"func (m *T{i}) Get{i}() int32 {{\n\tif m == nil {{\n\t\treturn 0\n\t}}\n\treturn m.f{i}\n}}\n\n" for i in range(9)), "generated"), ("a.js", "!function(){" + "".join(f"function a{i}(b){{for(var c=0;c<{i};c++)if(b[c]=={i})return!0;return!1}}" for i in range(20)) + "}();", "minified"),
         ("a.ts", 'const data = "' + "Ab3/" * 400 + '";\n', "data"), ("a.py", "T = [\n" + "".join("    " + ", ".join(str((i * 7919 + j) % 251) for j in range(12)) + ",\n" for i in range(40)) + "]\n", "data"), ("a.py", "HELP = '" + "some words " * 60 + "'\n" + module(1), ""), ("a.py", module(2), ""), ("a.py", "\n# only a comment\n", ""),
     ],
 )
 def test_kinds(path, text, kind):
-    assert origin.made_kind(text, origin.language(path), path)[0] == kind
+    assert origin.made_kind(text, origin.language(path))[0] == kind
 
 
 def test_broken_text_has_no_kind():
@@ -35,7 +47,7 @@ def test_fingerprints_do_not_see_layout_or_comments():
     fa, fb = (set(origin.fingerprints(origin.made_kind(t, "python")[1])) for t in (a, b))
     assert fa == fb and len(fa) > 5
     c = set(origin.fingerprints(origin.made_kind(module(4), "python")[1]))
-    assert len(fa & c) == 0
+    assert len(fa & c) < 0.1 * len(fa)
 
 
 def test_rows(spark):
