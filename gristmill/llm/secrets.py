@@ -3,8 +3,9 @@
 One deterministic automaton (Aho-Corasick over the literals below) reads a text once and stops at
 every place where a token format, a key armor, a connection string, an authorization header, a
 command-line login, an SQL login or a named value may begin; the grammar of that literal then
-decides at that place.  Long texts are read in overlapping chunks whose spans are made absolute
-and deduplicated.  ``redact`` splices placeholders into the spans and leaves all else as it was.
+decides at that place, on the whole text, so that no credential is too long.  Long texts are read by the automaton in
+chunks that overlap by the longest literal; spans are absolute and deduplicated.  ``redact`` splices placeholders
+into the spans and leaves all else as it was.
 
 Defined results: null content gives no span and null redacted text; empty content stays empty.
 """
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest credential that chunks must hold whole, and the length of a chunk, in characters.
-OVERLAP, CHUNK = 16_384, 1 << 20
+#: Characters of a chunk that the automaton reads at once.
+CHUNK = 1 << 13
 
 # ---- token formats: literal prefix and the pattern at it (fixed values)
 FORMATS = {
@@ -44,17 +45,32 @@ FORMATS = {
     "AIza": r"AIza[\w-]{35}",
     "npm_": r"npm_[A-Za-z0-9]{36}",
     "pypi-": r"pypi-[\w-]{50,}",
+    "hf_": r"hf_[A-Za-z0-9]{30,}",
+    "SG.": r"SG\.[\w-]{16,}\.[\w-]{16,}",
+    "sk_test_": r"sk_test_[A-Za-z0-9]{16,}",
+    "whsec_": r"whsec_[A-Za-z0-9]{24,}",
+    "shpat_": r"shpat_[a-fA-F0-9]{32}",
+    "dop_v1_": r"dop_v1_[a-f0-9]{64}",
+    "glsa_": r"glsa_[A-Za-z0-9]{32}_[a-fA-F0-9]{8}",
+    "dckr_pat_": r"dckr_pat_[\w-]{20,}",
+    "xoxa-": r"xoxa-[A-Za-z0-9-]{20,}",
+    "xoxr-": r"xoxr-[A-Za-z0-9-]{20,}",
+    "ya29.": r"ya29\.[\w-]{20,}",
+    "AGE-SECRET-KEY-1": r"AGE-SECRET-KEY-1[A-Z0-9]{50,}",
     "eyJ": r"eyJ[\w-]{8,}={0,2}\.eyJ[\w-]{4,}={0,2}\.[\w-]{16,}",
 }
 _FORMAT = {k.lower(): re.compile(rf"(?<![A-Za-z0-9_\-]){v}") for k, v in FORMATS.items()}
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BEGIN = re.compile(r"-----BEGIN ")
+#: What a key without an end consists of: runs of base64, and what a language or a header puts between them.
+_KEY_RUNS = re.compile(r"(?:(?:[\s\"'`,;|*#>]|\\[rn]|\+(?=\s)|[A-Z][\w-]*: [^\n\\]*)*+[A-Za-z0-9+/=]{16,})+(?:(?:[\s\"'`,]|\\[rn])*[A-Za-z0-9+/=]{2,}(?=[\s\"'`\\]|\Z))?")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _URL = re.compile(r"://([^\s:/@\"'`<>]*):([^\s/\"'`<>]*(?:/(?=[^\s/\"'`<>@]*@)[^\s/\"'`<>]*)*)@(?=[\w\[.$%{-])")
 _AUTH = re.compile(r"(?i)(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?\s*(bearer|basic|token|digest|apikey)\s+([^\s\"'`,;<>]+|<[^>\n]*>)")
 _BEARER = re.compile(r"(?i)\bbearer[ \t]+([A-Za-z0-9._~+/=-]{12,})")
 _CURL = re.compile(r"(?:(?<=\s)-u|--user)(?:\s+|=)[\"']?([^\s:\"']+):([^\s\"']+)")
 _SQL = re.compile(r"(?i)(?:identified\s+(?:with\s+\w+\s+)?by|\bpassword)\s+(?:password\s+)?(['\"])((?:(?!\1)[^\n])*)\1")
-_NETRC, _LOGIN = re.compile(r"(?i)password\s+(\S{1,4200})"), re.compile(r"(?i)\b(?:login|account)\s+\S{1,200}\s+\Z")
+_NETRC = re.compile(r"(?i)password\s+(\S+)")
 _TAG = re.compile(r"<([\w.:-]+)(?:\s[^<>]*)?>([^<>\s]+)</\1\s*>")
 
 # ---- named values
@@ -67,9 +83,9 @@ _NAME = r"[A-Za-z_$][\w$.\-]*"
 _GAP = re.compile(
     r"""(?P<q>\\?["'`]|["']?\])?[ \t]*(?:(?P<type>\??:[ \t]*(?:&(?:'static[ \t]+)?)?[A-Za-z_][\w.<>\[\]?|]*[ \t]*(?==))?(?P<op>:=|=>|=(?!=)|:(?!:)|,)|(?P<put>\\?["'`]?[ \t]*\)?[ \t]*\([ \t]*(?=["'`])))[ \t]*(?:\\?\n[ \t]*(?=["'`]))?"""
 )
-_QUOTED = re.compile(r"(?:[brufBRUFL@$]{0,2})(\\?[\"'`])((?:(?!\1)(?:\\[^\n]|[^\\\n])){0,4200})\1")
+_QUOTED = re.compile(r"(?:[brufBRUFL@$]{0,2})(\\?[\"'`])((?:(?!\1)(?:\\[^\n]|[^\\\n]))*+)\1")
 _JOIN = re.compile(r"[ \t]*[+.]?[ \t]*\\?\n?[ \t]*(?:\+[ \t]*)?(?=[\"'`])")
-_BARE = re.compile(r"[^\s\"'`,;()<>{}\[\]#][^\s\"'`,;()<>{}\[\]]{0,4200}")  # a credential of a name is no longer than 4,096
+_BARE = re.compile(r"[^\s\"'`,;()<>{}\[\]#][^\s\"'`,;()<>{}\[\]]*+")
 _LINE_REST = re.compile(r"[ \t]*(?:[#;][^\n]*|//[^\n]*|\*/[^\n]*|-->[^\n]*|\.|,)?[ \t]*(?=\r?\n|\Z)")
 _CODE = re.compile(r"(?i)\.(?:py|js|jsx|ts|tsx|java|go|c|h|cc|cpp|hpp|cs|kt|rs|swift|scala|php|rb|json)$")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;)|\s(?://|#|/\*|--)\s")
@@ -107,7 +123,7 @@ def _digits_letters(v: str) -> bool:
 
 def credential_value(v: str, name: str = "", quoted: bool = True) -> bool:
     """Whether a value written behind a credential's name is one, not a placeholder, reference, label or expression."""
-    if len(v) < 6 or len(v) > 4096 or any(c.isspace() for c in v):
+    if len(v) < 6 or any(c.isspace() for c in v):
         return False
     if _PLACE.match(v) and not (v[0] == "/" and len(v) >= 16 and sum(a.islower() != b.islower() for a, b in zip(v, v[1:])) > len(v) // 4):
         return False
@@ -143,14 +159,69 @@ def automaton() -> ahocorasick.Automaton:
 
 _IDENT = re.compile(r"[\w$.\-]")
 _IDENT_LEFT = re.compile(r"[\w$.\-]*\Z")
+_WORDLY = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-.")
 _IDENT_RIGHT = re.compile(r"[\w$\-.]*")
 
 
-def _named(text: str, at: int, end: int, code: bool) -> tuple[int, int, str] | None:
-    """A value behind the identifier around text[at:end]."""
+class Seen:
+    """What has been read of a text, so that no stretch of it is read at every hit within: where the last identifier begins, the last run without
+    a delimiter with its last digit and its last character that is in no word, the end of the next key, and where the last credential ends."""
+
+    def __init__(self):
+        self.at = self.left = self.start = self.stop = self.digit = self.odd = self.skip = self.key = -1
+        self.end: re.Match | None = None
+        self.ended = -1
+
+
+def _left(text: str, at: int, seen: Seen) -> int:
+    """Where the identifier that reaches ``at`` begins."""
     left = at
-    while left > 0 and at - left < 80 and (text[left - 1].isalnum() or text[left - 1] in "_$.-"):
+    while left > 0 and (text[left - 1].isalnum() or text[left - 1] in "_$.-"):
         left -= 1
+        if left == seen.at:
+            left = seen.left
+            break
+    seen.at, seen.left = at, left
+    return left
+
+
+def _bare(text: str, p: int, seen: Seen) -> int | None:
+    """Where the run without a delimiter that begins at ``p`` ends."""
+    if not seen.start <= p < seen.stop:
+        m = _BARE.match(text, p)
+        if not m:
+            return None
+        seen.start, seen.stop = p, m.end()
+        seen.digit = next((i for i in range(m.end() - 1, p - 1, -1) if text[i].isdigit()), -1)
+        seen.odd = next((i for i in range(m.end() - 1, p - 1, -1) if text[i] not in _WORDLY), -1)
+    return None if text[p] == "#" else seen.stop
+
+
+def _next_end(text: str, at: int, seen: Seen) -> re.Match | None:
+    """The next end of a key."""
+    if seen.ended < 0 or (seen.end and seen.end.start() < at):
+        seen.end, seen.ended = _END.search(text, at), at
+    return seen.end
+
+
+def _after_login(text: str, at: int) -> bool:
+    """Whether the word before the last one before ``at`` names a login, as in a netrc file."""
+    if not text[at - 1 : at].isspace():
+        return False
+    ends = []
+    for _ in range(2):
+        while at and text[at - 1].isspace():
+            at -= 1
+        ends.append(at)
+        while at and not text[at - 1].isspace():
+            at -= 1
+        ends.append(at)
+    return ends[1] < ends[0] and text[ends[3] : ends[2]].lower() in ("login", "account")
+
+
+def _named(text: str, at: int, end: int, code: bool, seen: Seen) -> tuple[int, int, str] | None:
+    """A value behind the identifier around text[at:end]."""
+    left = _left(text, at, seen)
     right = _IDENT_RIGHT.match(text, end).end()
     name = text[left:right]
     stripped = name.rstrip(".-")
@@ -160,12 +231,12 @@ def _named(text: str, at: int, end: int, code: bool) -> tuple[int, int, str] | N
     m = _GAP.match(text, right)
     if not m:
         # Dockerfile: ENV NAME value; argument: --password value
-        line = text[max(text.rfind("\n", max(0, left - 200), left) + 1, left - 200, 0) : left]
+        line = text[text.rfind("\n", 0, left) + 1 : left]
         if re.fullmatch(r"\s*(?:ENV|ARG)\s+", line) or stripped.startswith("--"):
             m = re.compile(r"[ \t]+").match(text, right)
-            b = _BARE.match(text, m.end()) if m else None
-            if b and credential_value(b[0], stripped, False):
-                return b.start(), b.end(), "value"
+            stop = _bare(text, m.end(), seen) if m else None
+            if stop and credential_value(text[m.end() : stop], stripped, False):
+                return m.end(), stop, "value"
         return None
     p = m.end()
     if m["op"] == "," and not m["q"]:
@@ -190,17 +261,16 @@ def _named(text: str, at: int, end: int, code: bool) -> tuple[int, int, str] | N
         return None
     if m["put"] or m["op"] == ",":
         return None
-    start = max(text.rfind("\n", max(0, left - 2000), left) + 1, left - 2000, 0)
-    before = text[start:left]
+    before = text[text.rfind("\n", 0, left) + 1 : left]
     in_string = text[left - 1 : left] in "\"'" and not m["q"] if left else False
     if code and not in_string and not _COMMENT.search(before + " "):
-        if not re.search(r"[\"'`][^\"'`]*\Z", before):  # else it stands inside a string, as a header or argument does
+        if not any(q in before for q in "\"'`"):  # else it stands inside a string, as a header or argument does
             return None
         in_string = True
-    b = _BARE.match(text, p)
-    if not b:
+    stop = _bare(text, p, seen)
+    if not stop or seen.digit < p <= seen.odd:  # without a digit, a bare value is one word at most
         return None
-    v, stop = b[0], b.end()
+    v = text[p:stop]
     whole = _LINE_REST.match(text, stop) or (in_string and text[stop : stop + 1] in "\"'`&;, ")
     if not whole and not re.match(r"[,;&|)}\]]|[ \t]+(?:&&|\||\\)", text[stop : stop + 3]) and not (not code and re.match(r"[ \t]", text[stop : stop + 1]) and _digits_letters(v)):
         return None
@@ -208,7 +278,7 @@ def _named(text: str, at: int, end: int, code: bool) -> tuple[int, int, str] | N
         return None
     v2 = v.rstrip(".") if code else v
     if credential_value(v2, stripped, False):
-        return b.start(), b.start() + len(v2), "value"
+        return p, p + len(v2), "value"
     return None
 
 
@@ -222,23 +292,24 @@ def _url(text: str, at: int) -> tuple[int, int, str] | None:
     return m.start(2), m.end(2), "url"
 
 
-def scan(text: str, code: bool) -> list[tuple[int, int, str]]:
-    """Spans (start, end, kind) of one chunk, sorted, none inside another."""
+def scan(text: str, code: bool, seen: Seen, lo: int = 0, hi: int | None = None) -> set[tuple[int, int, str]]:
+    """Spans (start, end, kind) of credentials whose literal stands in text[lo:hi]; they may reach beyond."""
     found: set[tuple[int, int, str]] = set()
-    low = text.lower()
-    if len(low) != len(text):  # letters whose lower case is longer
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    skip = -1
+    part = text[lo:hi]
+    low = part.lower()
+    if len(low) != len(part):  # letters whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in part)
     for last, (kind, n, word) in automaton().iter(low):
+        last += lo
         at = last - n + 1
-        if at < skip:
+        if at < seen.skip and (kind != "format" or at < seen.key):
             continue
         hit = None
         if kind == "name":
-            nxt = low[last + 1 : last + 2]
+            nxt = text[last + 1 : last + 2].lower()
             if word == "pass" and nxt in ("w", "p", "c"):
                 continue
-            hit = _named(text, at, last + 1, code)
+            hit = _named(text, at, last + 1, code, seen)
         elif kind == "url":
             hit = _url(text, at)
         elif kind == "format":
@@ -248,16 +319,12 @@ def scan(text: str, code: bool) -> list[tuple[int, int, str]]:
         elif kind == "armor":
             m = _ARMOR.match(text, at)
             if m:
-                e = _END.search(text, m.end(), m.end() + OVERLAP)
-                stop = e.start() if e else min(len(text), m.end() + OVERLAP)
-                body = text[m.end() : stop]
-                runs = re.findall(r"[A-Za-z0-9+/=]{16,}", body)
-                if runs and sum(map(len, runs)) >= 40:
-                    if not e:
-                        r = None
-                        for r in re.finditer(r"[A-Za-z0-9+/=]{16,}", body):
-                            pass
-                        stop = m.end() + r.end()
+                e = _next_end(text, m.end(), seen)
+                if e and _BEGIN.search(text, m.end(), e.start()):
+                    e = None  # the end of another
+                r = None if e else _KEY_RUNS.match(text, m.end())
+                stop = e.start() if e else r.end() if r else m.end()
+                if sum(map(len, re.findall(r"[A-Za-z0-9+/=]{16,}", text[m.end() : stop]))) >= 40:
                     hit = (m.start(), e.end() if e else stop, "private_key")
         elif kind == "auth":
             m = _AUTH.match(text, at)
@@ -277,7 +344,7 @@ def scan(text: str, code: bool) -> list[tuple[int, int, str]]:
             if m and _digits_letters(m[1]) and credential_value(m[1]):
                 hit = (m.start(1), m.end(1), "header")
             else:
-                hit = _named(text, at, last + 1, code)
+                hit = _named(text, at, last + 1, code, seen)
         elif kind == "curl":
             m = _CURL.match(text, at)
             if m and re.search(r"(?:curl|wget|http)\b", text[max(0, text.rfind("\n", 0, at)) : at]) and credential_value(m[2], "", True):
@@ -288,37 +355,31 @@ def scan(text: str, code: bool) -> list[tuple[int, int, str]]:
                 hit = (m.start(2), m.end(2), "login")
         if hit is None and word in ("password", "passwd", "pass", "secret", "token", "key"):
             m = _SQL.match(text, at) if word == "password" else None
-            n = _NETRC.match(text, at) if word == "password" and _LOGIN.search(text, max(0, at - 240), at) else None
+            n = _NETRC.match(text, at) if word == "password" and _after_login(text, at) else None
             if m and credential_value(m[2], "", True):
                 hit = (m.start(2), m.end(2), "login")
             elif n and credential_value(n[1], "", True):
                 hit = (n.start(1), n.end(1), "login")
-            elif text[at - 1 : at] != "/" and "<" in text[max(0, at - 40) : at]:
+            elif text[at - 1 : at] != "/" and text[_left(text, at, seen) - 1 : _left(text, at, seen)] in ("<", ":"):
                 t = _TAG.match(text, text.rfind("<", 0, at))
                 if t and secret_name(t[1]) and credential_value(t[2], t[1], True):
                     hit = (t.start(2), t.end(2), "value")
         if hit:
             found.add(hit)
+            seen.skip = max(seen.skip, hit[1])
             if hit[2] == "private_key":
-                skip = hit[1]
-    out: list[tuple[int, int, str]] = []
-    for s in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
-        if not out or s[0] >= out[-1][1]:
-            out.append(s)
-    return out
+                seen.key = hit[1]
+    return found
 
 
-def spans(text: str, path: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """Absolute spans of the credentials of a text, read in overlapping chunks."""
+def spans(text: str, path: str | None, chunk: int = CHUNK) -> list[tuple[int, int, str]]:
+    """Absolute spans of the credentials of a text, sorted, none inside another; read in chunks that overlap by the longest literal."""
     code = bool(_CODE.search(path or ""))
-    if len(text) <= chunk:
-        return scan(text, code)
+    overlap = max(map(len, _LITERALS))
     found: set[tuple[int, int, str]] = set()
+    seen = Seen()
     for a in range(0, len(text), chunk):
-        lo, hi = max(0, a - overlap), min(len(text), a + chunk + overlap)
-        for s, e, k in scan(text[lo:hi], code):
-            if a <= lo + s < a + chunk or (lo + s < a and lo == 0):
-                found.add((lo + s, lo + e, k))
+        found |= scan(text, code, seen, a, a + chunk + overlap)
     out: list[tuple[int, int, str]] = []
     for s in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
         if not out or s[0] >= out[-1][1]:
