@@ -4,7 +4,8 @@ Sizes are tokens of a public tokenizer whose file is a parameter.  Weights follo
 source's weight is target^t * share^(1 - t), normalised, share being its share of all tokens.  At t = 1 the
 targets are met exactly, at t = 0 the corpus is taken as it is; t is found by bisection as the
 greatest exponent whose weights no source exceeds with ``max_repeats`` copies, or the one that meets a target
-entropy.  Without a budget the total is the greatest for which t = 1 holds.
+entropy.  Without a budget the total is the greatest for which t = 1 holds.  With ``uniform`` targets the weight is
+share^(1 - t) alone, the temperature mixing of the sources' own shares: from as they are to all alike.
 
 A weight is realised by a budgeted block permutation: the documents of a source are spread by hash over
 blocks, whole blocks are taken in order until the source's budget is met, and only the block in which it is met is
@@ -110,13 +111,13 @@ def plan(target: dict[str, float], tokens: dict[str, int], repeats: dict[str, in
     return w, min(float(budget), most(w)), t
 
 
-def _prepared(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int):
+def _prepared(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int, uniform: bool = False):
     """Counted documents of listed sources with their block, and what is known of each source."""
     wanted = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").filter("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     rows = wanted.limit(SOURCES_LIMIT + 1).collect()
     if len(rows) > SOURCES_LIMIT:
         raise ValueError("too many sources to plan")
-    target = {r.source: float(r.target_share or 0) for r in rows}
+    target = {r.source: 1.0 if uniform else float(r.target_share or 0) for r in rows}
     repeats = {r.source: int(r.max_repeats or 0) for r in rows}
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.col("text").alias("__text")).filter(F.col("__text").isNotNull() & F.col("source").isin(list(target)))
     counted = token_counts(docs, "__text", ["doc_id", "source"], tokenizer).withColumn("mix_key", F.xxhash64("doc_id", F.lit(seed)))
@@ -125,14 +126,18 @@ def _prepared(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: in
     return counted, target, repeats, held
 
 
-def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, budget: int | None = None, target_entropy: float | None = None, seed: int = 17, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(source, doc_id, copy_no, n_tokens, mix_block, mix_key): one row for each time a document is taken.
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, budget: int | None = None, target_entropy: float | None = None, seed: int = 17, block_docs: int = BLOCK_DOCS, uniform: bool = False, epochs: float | None = None) -> DataFrame:
+    """(source, doc_id, copy_no, n_tokens, mix_block, mix_key, exponent): one row for each time a document is taken; exponent is t.
+
+    ``epochs`` is a budget in multiples of all tokens of the listed sources.
 
     Read in the order of mix_block and mix_key it is mixed: every block holds every source in its share.
     """
     spark = documents.sparkSession
-    counted, target, repeats, held = _prepared(documents, targets, tokenizer, seed)
-    w, total, _ = plan(target, {s: t for s, (_, t) in held.items()}, repeats, budget, target_entropy)
+    counted, target, repeats, held = _prepared(documents, targets, tokenizer, seed, uniform)
+    if epochs is not None:
+        budget = round(epochs * sum(t for s, (_, t) in held.items() if target.get(s, 0) > 0 and repeats.get(s, 0) > 0))
+    w, total, exponent = plan(target, {s: t for s, (_, t) in held.items()}, repeats, budget, target_entropy)
     rows = []
     for s, x in w.items():
         n, t = held[s]
@@ -156,7 +161,26 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     out = taken.select("source", "doc_id", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "n_tokens", "mix_key")
     blocks = max(1, int(sum(n for n, _ in held.values()) // block_docs))
     key = F.xxhash64("mix_key", "copy_no")
-    return out.select("source", "doc_id", F.col("copy_no").cast("int").alias("copy_no"), "n_tokens", F.pmod(key, F.lit(blocks)).alias("mix_block"), key.alias("mix_key"))
+    return out.select("source", "doc_id", F.col("copy_no").cast("int").alias("copy_no"), "n_tokens", F.pmod(key, F.lit(blocks)).alias("mix_block"), key.alias("mix_key"), F.lit(exponent).alias("exponent"))
+
+
+def tempered_shares(documents: DataFrame, targets: DataFrame, epochs: float = 1.0, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(source, n_tokens, share, exponent, weight, tokens_taken, share_reached, most_repeats) of a mixture of ``epochs`` times all tokens, tempered by the sources' own shares alone.
+
+    The exponent of the shares, 1 - t, is the least, and the mixture the flattest, for which no source needs more than its ``max_repeats`` copies.
+    """
+    mixed = mixture(documents, targets, tokenizer, uniform=True, epochs=epochs)
+    got = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("k"), F.max("n_tokens").alias("n"), F.max("exponent").alias("t"))
+    # a document that is not taken counts for its source's share all the same
+    listed = targets.select(F.lower(F.trim("source")).alias("source")).filter("source IS NOT NULL AND max_repeats > 0").distinct()
+    docs = documents.select(F.lower(F.trim("source")).alias("source"), F.col("text").alias("__text")).filter(F.col("__text").isNotNull()).join(F.broadcast(listed.limit(SOURCES_LIMIT)), "source")
+    held = token_counts(docs, "__text", ["source"], tokenizer).groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")).filter("n_tokens > 0")
+    took = got.groupBy("source").agg(F.sum(F.col("k") * F.col("n")).alias("tokens_taken"), F.max("k").cast("long").alias("most_repeats"), F.max("t").alias("t"))
+    every = Window.partitionBy(F.lit(1))  # one row per source by now
+    j = held.join(took, "source").withColumn("share", F.col("n_tokens") / F.sum("n_tokens").over(every)).withColumn("exponent", 1 - F.col("t"))
+    j = j.withColumn("raw", F.pow("share", "exponent"))
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return j.select("source", "n_tokens", r(F.col("share"), "share"), r(F.col("exponent"), "exponent"), r(F.col("raw") / F.sum("raw").over(every), "weight"), "tokens_taken", r(F.col("tokens_taken") / F.sum("tokens_taken").over(every), "share_reached"), "most_repeats")
 
 
 def mixture_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -78,7 +78,11 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(_t(spark, d, "documents"), _t(spark, d, "source_targets"))
+    return mixing.mixture(_t(spark, d, "documents"), _t(spark, d, "source_targets")).drop("exponent")
+
+
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.tempered_shares(_t(spark, d, "documents"), _t(spark, d, "source_targets"), epochs=1.5)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +102,7 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return personal.surrogate_table(personal.personal_entities(_t(spark, d, "documents"), with_text=True), secret="a key that a user sets")
 
 
-_ALL = [p1_found, p1_pairs, p1_listed, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_origins, p5_found, p5_redacted, p6_found, p6_effective, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_placeholders, p9_surrogates]
+_ALL = [p1_found, p1_pairs, p1_listed, p2_found, p2_rates, p3_found, p3_pieces, p4_found, p4_origins, p5_found, p5_redacted, p6_found, p6_effective, p7_found, p7_items, p8_mix, p8_shares, p8_tempered, p9_found, p9_placeholders, p9_surrogates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

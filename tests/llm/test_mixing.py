@@ -58,6 +58,21 @@ def test_rows(spark):
     assert mixing.mixture(df.limit(0), targets).count() == 0
 
 
+@needs
+def test_tempered(spark):
+    docs = [(i, "big", f"word {i} " * 30) for i in range(400)] + [(1000 + i, "mid", "some text here " * 12) for i in range(60)] + [(2000 + i, "tiny", "few words only " * 10) for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("big", 0.0, 2), ("mid", 0.9, 2), ("tiny", 0.1, 3)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.tempered_shares(df, targets, epochs=1.3).collect()}
+    e = got["big"].exponent
+    assert 0 < e < 1 and set(got) == {"big", "mid", "tiny"}
+    total = sum(r.share**e for r in got.values())
+    for s, r in got.items():
+        assert abs(r.weight - r.share**e / total) < 1e-4 and abs(r.share_reached - r.weight) < 0.01 and r.most_repeats <= {"tiny": 3}.get(s, 2)
+    assert got["tiny"].most_repeats == 3 and got["tiny"].share_reached > got["tiny"].share  # the limit that the exponent is bisected to
+    assert mixing.tempered_shares(df.limit(0), targets).count() == 0
+
+
 @needs
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, "")], "doc_id long, t string")
