@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gristmill.session import spread
 
-#: Distinct name words that are sent to the tasks; beyond it the pairs are joined with the table of names.
+#: Distinct name words that are sent to the tasks; more are refused.
 LEXICON_LIMIT = 1_000_000
 #: Times that a word must stand as a name before it counts as one outside of such places.
 LEAST_SEEN = 2
@@ -123,28 +123,32 @@ def name_places(text: str) -> set[tuple[str, str]]:
     return {(r, key_of(m[r])) for m in _placed(text) for r in "gf"}
 
 
+_AUTOMATA: dict[bytes, ahocorasick.Automaton] = {}
+
+
 class Names:
     """Given and family names; finds pairs of them with an automaton over all of them."""
 
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = given, family
-        self._automaton = None
-
-    def __getstate__(self):
-        return {"given": self.given, "family": self.family, "_automaton": None}
+        # the automaton is made once in a worker, whatever number of tasks bring these names
+        self.key = hashlib.blake2b("\n".join([*sorted(given), "", *sorted(family)]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def find(self, text: str) -> list[tuple[int, int]]:
         given, family = self.given, self.family
         if not given or not family:
             return []
-        if self._automaton is None:
-            self._automaton = ahocorasick.Automaton()
+        automaton = _AUTOMATA.get(self.key)
+        if automaton is None:
+            automaton = ahocorasick.Automaton()
             for w in given | family:
-                self._automaton.add_word(w, w)
-            self._automaton.make_automaton()
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            _AUTOMATA.clear()
+            _AUTOMATA[self.key] = automaton
         low = text.lower() if text.isascii() else "".join(map(_folded, text))
         hits, n = [], len(text)
-        for last, w in self._automaton.iter_long(low):
+        for last, w in automaton.iter_long(low):
             a, e = last - len(w) + 1, last + 1
             if (a and (text[a - 1].isalnum() or text[a - 1] in "_-'’" and a > 1 and text[a - 2].isalnum())) or (e < n and (text[e].isalnum() or text[e] in "_-'’" and e + 1 < n and text[e + 1].isalpha() and text[e : e + 2].lower() not in ("'s", "’s"))):
                 continue
