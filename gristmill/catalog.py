@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import paths, vectors
 from gristmill.functions import text as tx
 from gristmill.operators import chat, extract, graph, graphops, retrieve
+from gristmill.session import checkpointed
 from gristmill.sources import repository, store
 from gristmill.streaming import ingest
 
@@ -219,8 +220,26 @@ def _info(spark, d):
     return extract.stored_info(_t(spark, d, "ast_data"))
 
 
+_GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def _built(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(resolved imports, nodes, edges) of the tables of a folder, built once in a session and kept in its checkpoint folder, which all queries on graphs read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _GRAPHS:
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(checkpointed(df))
+            return kept[-1]
+
+        nodes, edges = graph.graph(keep(_info(spark, d)), keep=keep)
+        _GRAPHS[key] = kept[1], keep(nodes), keep(edges)
+    return _GRAPHS[key]
+
+
 def _graph(spark, d):
-    return graph.graph(_info(spark, d))
+    return _built(spark, d)[1:]
 
 
 @query(_with("SELECT * FROM sym"))
@@ -257,13 +276,13 @@ def suffix_resolve(spark, d):
 @query(_with("SELECT repo_id, name, src, path, CAST(ord AS INT) AS ord FROM mid"))
 def midpoint_first_wins(spark, d):
     """D10 D12."""
-    return graph.midpoints(graph.export_events(graph.resolved_imports(_info(spark, d))))
+    return graph.midpoints(graph.export_events(_built(spark, d)[0])).drop("file_ord")
 
 
 @query(_with("SELECT repo_id, path, CAST(ord AS INT) AS ord, id, CAST(level AS INT) AS level, type, label FROM loose"))
 def unresolved_anti(spark, d):
     """D11 D13 D14-D17."""
-    u = graph.unresolved(graph.resolved_imports(_info(spark, d)))
+    u = graph.unresolved(_built(spark, d)[0]).drop("file_ord")
     return u.withColumn("level", F.col("level").cast("int"))
 
 
@@ -276,7 +295,7 @@ def edge_attr_merge(spark, d):
 @query(_with("SELECT repo_id, id AS src, path AS dst, count(*) AS count, 'multiple' AS relation FROM loose GROUP BY ALL HAVING count(*) > 1"))
 def edge_cluster_count(spark, d):
     """Edges that are written more than once."""
-    return graph.clustered_edges(graph.unresolved(graph.resolved_imports(_info(spark, d))).select("repo_id", F.col("id").alias("src"), F.col("path").alias("dst")))
+    return graph.clustered_edges(graph.unresolved(_built(spark, d)[0]).select("repo_id", F.col("id").alias("src"), F.col("path").alias("dst")))
 
 
 @query("SELECT c_custkey, round((c_acctbal - lo) / nullif(hi - lo, 0) * 1000, 6) AS scaled FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)")
@@ -423,6 +442,28 @@ def fixed_chunks(spark, d):
     return docs.select("doc_id", F.explode(retrieve.fixed_chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.chunk_idx").alias("chunk_idx"), F.md5("c.chunk").alias("chunk_md5"))
 
 
+@query(_with("SELECT repo_id, src, dst, CASE relation WHEN 'contains' THEN 'amber' WHEN 'imports' THEN 'blue' WHEN 'exports' THEN 'green' WHEN 'includes' THEN 'violet' ELSE 'grey' END AS colour FROM edges"))
+def edge_style(spark, d):
+    """Colours of edges."""
+    return graphops.edge_style(_graph(spark, d)[1])
+
+
+@query(_with("SELECT repo_id, id, CASE type WHEN 'file' THEN 0 WHEN 'directory' THEN 2 ELSE 1 END AS phase FROM nodes"))
+def node_order(spark, d):
+    """The order in which a builder writes nodes."""
+    return graphops.in_order(_graph(spark, d)[0]).select("repo_id", "id", "position.phase")
+
+
+_NEAR = """, near AS (SELECT repo_id, dst AS id, src AS other, CASE WHEN relation = 'imports' THEN 'importers' WHEN relation = 'contains' THEN 'folders' END AS kind FROM edges UNION ALL SELECT repo_id, src, dst, CASE WHEN relation = 'contains' THEN 'folders' END FROM edges),
+   listed AS (SELECT x.*, string_split(n.label, chr(10))[1] AS label, row_number() OVER (PARTITION BY x.repo_id, x.id, x.kind ORDER BY x.other) AS k FROM near x JOIN nodes n ON n.repo_id = x.repo_id AND n.id = x.other WHERE kind IS NOT NULL)"""
+
+
+@query(_with("SELECT n.repo_id, n.id, coalesce(string_agg(l.label, ', ' ORDER BY l.other) FILTER (l.kind = 'importers' AND k <= 50), '') AS importers, coalesce(string_agg(l.label, ', ' ORDER BY l.other) FILTER (l.kind = 'folders' AND k <= 50), '') AS folders FROM nodes n LEFT JOIN listed l ON l.repo_id = n.repo_id AND l.id = n.id GROUP BY ALL", more=_NEAR))
+def neighbour_labels(spark, d):
+    """The labels that a hover shows."""
+    return graphops.neighbour_labels(*_graph(spark, d))
+
+
 @query()
 def recursive_chunks(spark, d):
     """F2 F3 with separators."""
@@ -595,6 +636,15 @@ def history_buffer(spark, d):
     return chat.history(_t(spark, d, "chat_messages"))
 
 
+@query(
+    """SELECT session_id, turn, role, text, md5(coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY session_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS buffer_md5
+       FROM (SELECT DISTINCT session_id, turn, role, text FROM chat_messages WHERE trim(text, ' ') <> '')"""
+)
+def conversation_buffer(spark, d):
+    """The whole conversation before each message."""
+    return chat.buffer(_t(spark, d, "chat_messages")).select("session_id", "turn", "role", "text", F.md5("buffer").alias("buffer_md5"))
+
+
 @query(
     _with(
         f"""SELECT m.session_id, m.turn, m.text, md5('Repository:' || chr(10) || coalesce(o.entry, '') || chr(10) || chr(10) || 'Relevant files:' || chr(10) || chr(10) || chr(10) || 'Question: ' || m.text || chr(10) || chr(10) || '{chat.STEPS}') AS prompt_md5

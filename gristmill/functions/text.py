@@ -52,11 +52,19 @@ def decoded(b64: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")) & (F.encode(raw.cast("string"), "utf-8") == raw), raw.cast("string"))
 
 
-def repo_url(url: Column) -> tuple[Column, Column]:
-    """(base, rest of the path or null); both null if it is no repository address."""
+def endpoint(sub_directory: Column, rest: Column) -> Column:
+    """The folder that is listed: the one asked for, else that of the address, else the root."""
+    given = lambda c: F.when(F.trim(c, F.lit("/")) != "", F.trim(c, F.lit("/")))
+    return F.coalesce(given(sub_directory), given(rest), F.lit(""))
+
+
+def repo_url(url: Column, strict: bool = False) -> tuple[Column, Column]:
+    """(base, rest of the path or null); both null if it is no repository address, which is an error if ``strict``."""
     u = F.regexp_replace(url, r"/+$", "")
     pat = r"^https://github\.com/([^/]+)/([^/]+)(/.*)?$"
     ok = u.rlike(pat)
+    if strict:
+        ok = F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("no repository address: "), F.coalesce(url, F.lit("null")))).cast("boolean"))
     base = F.when(ok, F.concat(F.lit("https://github.com/"), F.regexp_extract(u, pat, 1), F.lit("/"), F.regexp_extract(u, pat, 2)))
     rest = F.regexp_extract(u, pat, 3)
     return base, F.when(ok & (rest != ""), rest)

@@ -38,6 +38,16 @@ def history(messages: DataFrame) -> DataFrame:
     return m.select("*", F.count("*").over(before).alias("history_turns"), F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).alias("history_chars"), F.lag("text").over(w).alias("previous"))
 
 
+def buffer(messages: DataFrame) -> DataFrame:
+    """(session_id, turn, role, text, buffer): each message with the whole conversation before it, a line for each message; blank and equal rows as in ``history``.
+
+    The buffer of a message is what a model is given with it, so that each row holds one; only the rows of one session meet.
+    """
+    m = messages.filter(F.trim("text") != "").select("session_id", "turn", "role", "text").distinct()
+    before = Window.partitionBy("session_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    return m.withColumn("buffer", F.array_join(F.collect_list(F.concat("role", F.lit(": "), "text")).over(before), "\n"))
+
+
 def prompt(overview: Column, context: Column, question: Column) -> Column:
     """The text that a model gets: overview of the repository, relevant files, the question, and how to answer."""
     none = F.lit("")

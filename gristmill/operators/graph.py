@@ -1,12 +1,15 @@
 """The dependency graph of repositories: symbols, resolved imports, folders, typed nodes and edges.
 
-The order in which a sequential builder would write is carried as a key, (phase, path, position of the import),
-so that first and last writers are aggregates and nothing is sorted.  Everything is keyed by repository, and
+The order in which a sequential builder would write is carried as a key, (phase, file_ord, path, position of the import),
+so that first and last writers are aggregates and nothing is sorted; file_ord is the order of files where they have one, else
+that of their paths.  Everything is keyed by repository, and
 repositories share the plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +18,23 @@ from gristmill.functions import paths
 PYTHON_LIKE, JAVA_LIKE, GO, C_LIKE = (".py", ".js", ".ts"), (".java", ".kt"), (".go",), (".c", ".cpp", ".h", ".hpp")
 
 
+def _ordered(info: DataFrame) -> DataFrame:
+    """With a file_ord; a null one comes after all others."""
+    return info.withColumn("file_ord", F.coalesce(F.col("file_ord").cast("int"), F.lit(2**31 - 1)) if "file_ord" in info.columns else F.lit(0))
+
+
 def symbols(info: DataFrame) -> DataFrame:
-    """(repo_id, name, file): the last file in path order that defines a name."""
+    """(repo_id, name, file): the last file that defines a name."""
     empty = F.array().cast("array<string>")
     names = F.explode(F.concat(F.coalesce("functions", empty), F.coalesce("classes", empty)))
-    return info.select("repo_id", "path", names.alias("name")).groupBy("repo_id", "name").agg(F.max("path").alias("file"))
+    return _ordered(info).select("repo_id", "path", "file_ord", names.alias("name")).groupBy("repo_id", "name").agg(F.max_by("path", F.struct("file_ord", "path")).alias("file"))
 
 
 def imports(info: DataFrame) -> DataFrame:
-    """(repo_id, path, ord, imp, kind, module, symbol): every import with the rule for its file's extension."""
+    """(repo_id, path, file_ord, ord, imp, kind, module, symbol): every import with the rule for its file's extension."""
     ext = paths.extension(F.col("path"))
     kind = F.when(ext.isin(*PYTHON_LIKE), "python").when(ext.isin(*JAVA_LIKE), "java").when(ext.isin(*GO), "go").when(ext.isin(*C_LIKE), "c").otherwise("other")
-    rows = info.select("repo_id", "path", F.posexplode("imports").alias("ord", "imp")).filter(F.col("imp").isNotNull()).withColumn("kind", kind)
+    rows = _ordered(info).select("repo_id", "path", "file_ord", F.posexplode("imports").alias("ord", "imp")).filter(F.col("imp").isNotNull()).withColumn("kind", kind)
     dotted = (F.col("kind") == "python") & F.col("imp").contains(".")
     last = r"(?s)^(.*)\.([^.]*)$"
     return rows.withColumn("module", F.when(dotted, F.regexp_extract("imp", last, 1))).withColumn("symbol", F.when(dotted, F.regexp_extract("imp", last, 2)))
@@ -65,26 +73,26 @@ def resolved_imports(info: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def export_events(resolved: DataFrame) -> DataFrame:
-    """(repo_id, path, ord, name, src): imports of a symbol that a file of the repository provides."""
+    """(repo_id, path, file_ord, ord, name, src): imports of a symbol that a file of the repository provides."""
     ok = F.col("src").isNotNull() & (F.col("kind") == "python") & (~F.col("undotted") | (F.col("src") != F.col("path")))
-    return resolved.filter(ok).select("repo_id", "path", "ord", F.when(F.col("undotted"), F.col("imp")).otherwise(F.col("symbol")).alias("name"), "src")
+    return resolved.filter(ok).select("repo_id", "path", "file_ord", "ord", F.when(F.col("undotted"), F.col("imp")).otherwise(F.col("symbol")).alias("name"), "src")
 
 
-def midpoints(events: DataFrame) -> DataFrame:
-    """(repo_id, name, src, path, ord): the first event of each symbol decides where all its importers attach."""
-    first = F.min_by(F.struct("src", "path", "ord"), F.struct("path", "ord")).alias("m")
-    return events.groupBy("repo_id", "name").agg(first).select("repo_id", "name", "m.*")
+def midpoints(events: DataFrame, strict: bool = False) -> DataFrame:
+    """(repo_id, name, src, path, file_ord, ord): the first event of each symbol decides where all its importers attach; ``strict`` tells symbols of one name by their files."""
+    first = F.min(F.struct("file_ord", "path", "ord", "src")).alias("m")
+    return events.groupBy("repo_id", "name", *([F.col("src").alias("of")] if strict else [])).agg(first).select("repo_id", "name", "m.src", "m.path", "m.file_ord", "m.ord")
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:
-    """(repo_id, path, ord, id, level, type, label): packages and headers that stand for what no file provides."""
+    """(repo_id, path, file_ord, ord, id, level, type, label): packages and headers that stand for what no file provides."""
     k, imp = F.col("kind"), F.col("imp")
     dotted = (k == "python") & ~F.col("undotted")
     rows = resolved.filter((k != "python") | F.col("src").isNull())
     java = F.regexp_replace(imp, r"\.[^.]*$", "")
     pid = F.when(dotted, F.col("module")).when(k == "java", java).otherwise(imp)
     level = F.when(k.isin("go", "c"), paths.occurrences(pid, "/") + 1).when(F.col("undotted"), 1).otherwise(paths.occurrences(pid, ".") + 1)
-    return rows.select("repo_id", "path", "ord", pid.alias("id"), level.alias("level"), F.when(k == "c", "header").otherwise("package").alias("type"), F.when(dotted, F.col("symbol")).alias("label"))
+    return rows.select("repo_id", "path", "file_ord", "ord", pid.alias("id"), level.alias("level"), F.when(k == "c", "header").otherwise("package").alias("type"), F.when(dotted, F.col("symbol")).alias("label"))
 
 
 def directories(info: DataFrame) -> DataFrame:
@@ -97,31 +105,36 @@ def file_label(info_path: Column) -> Column:
     return F.concat(paths.basename(info_path), F.lit("\nFunctions: "), names("functions"), F.lit("\nClasses: "), names("classes"))
 
 
-def graph(info: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes (repo_id, id, type, label, shape, level) and edges (repo_id, src, dst, relation, label), at most one edge for each pair."""
-    res = resolved_imports(info, strict)
+def graph(info: DataFrame, strict: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Nodes (repo_id, id, type, label, shape, level) and edges (repo_id, src, dst, relation, label), at most one edge for each pair.
+
+    ``keep`` is given what several branches read, the resolved imports, to materialise it.
+    """
+    info = _ordered(info)
+    res = keep(resolved_imports(info, strict))
     events = export_events(res)
-    mid = midpoints(events)
+    mid = midpoints(events, strict)
     loose = unresolved(res)
     dirs = directories(info)
     p = F.col("path")
     lit = lambda x, n: F.lit(x).alias(n)
-    files = info.select("repo_id", p.alias("id"), lit("file", "type"), file_label(p).alias("label"), lit("ellipse", "shape"), (paths.depth(p) + 1).alias("level"), lit(0, "phase"), "path", lit(-1, "ord"))
-    mids = mid.select("repo_id", F.concat("src", F.lit("::"), "name").alias("id"), lit("import", "type"), F.col("name").alias("label"), lit("box", "shape"), (paths.depth(F.col("src")) + 2).alias("level"), lit(0, "phase"), "path", "ord")
-    packs = loose.select("repo_id", "id", "type", F.col("id").alias("label"), F.when(F.col("type") == "header", "diamond").otherwise("star").alias("shape"), "level", lit(0, "phase"), "path", "ord")
-    folders = dirs.select("repo_id", "id", lit("directory", "type"), paths.basename(F.col("id")).alias("label"), lit("box", "shape"), paths.depth(F.col("id")).alias("level"), lit(1, "phase"), F.col("id").alias("path"), lit(0, "ord"))
-    seq = F.struct("phase", "path", "ord")
+    files = info.select("repo_id", p.alias("id"), lit("file", "type"), file_label(p).alias("label"), lit("ellipse", "shape"), (paths.depth(p) + 1).alias("level"), lit(0, "phase"), "file_ord", "path", lit(-1, "ord"))
+    mids = mid.select("repo_id", F.concat("src", F.lit("::"), "name").alias("id"), lit("import", "type"), F.col("name").alias("label"), lit("box", "shape"), (paths.depth(F.col("src")) + 2).alias("level"), lit(0, "phase"), "file_ord", "path", "ord")
+    packs = loose.select("repo_id", "id", "type", F.col("id").alias("label"), F.when(F.col("type") == "header", "diamond").otherwise("star").alias("shape"), "level", lit(0, "phase"), "file_ord", "path", "ord")
+    folders = dirs.select("repo_id", "id", lit("directory", "type"), paths.basename(F.col("id")).alias("label"), lit("box", "shape"), paths.depth(F.col("id")).alias("level"), lit(1, "phase"), lit(0, "file_ord"), F.col("id").alias("path"), lit(0, "ord"))
+    seq = F.struct("phase", "file_ord", "path", "ord")
     writes = files.unionByName(mids).unionByName(packs).unionByName(folders)
     nodes = writes.groupBy("repo_id", "id").agg(F.max_by(F.struct("type", "label", "shape", F.col("level").cast("int").alias("level")), seq).alias("n")).select("repo_id", "id", "n.*")
 
     none = F.lit(None).cast("string").alias("label")
-    at = ["phase", "path", "ord"]
-    exports = mid.select("repo_id", "src", F.concat("src", F.lit("::"), "name").alias("dst"), lit("exports", "relation"), none, lit(0, "phase"), "path", "ord")
-    uses = events.drop("src").join(mid.select("repo_id", "name", "src"), ["repo_id", "name"]).select("repo_id", F.concat("src", F.lit("::"), "name").alias("src"), F.col("path").alias("dst"), lit("imports", "relation"), none, lit(0, "phase"), "path", "ord")
-    outer = loose.select("repo_id", F.col("id").alias("src"), F.col("path").alias("dst"), F.when(F.col("type") == "header", "includes").otherwise("imports").alias("relation"), "label", lit(0, "phase"), "path", "ord")
+    at = ["phase", "file_ord", "path", "ord"]
+    exports = mid.select("repo_id", "src", F.concat("src", F.lit("::"), "name").alias("dst"), lit("exports", "relation"), none, lit(0, "phase"), "file_ord", "path", "ord")
+    by = ["repo_id", "name", "src"] if strict else ["repo_id", "name"]
+    uses = (events if strict else events.drop("src")).join(mid.select("repo_id", "name", "src"), by).select("repo_id", F.concat("src", F.lit("::"), "name").alias("src"), F.col("path").alias("dst"), lit("imports", "relation"), none, lit(0, "phase"), "file_ord", "path", "ord")
+    outer = loose.select("repo_id", F.col("id").alias("src"), F.col("path").alias("dst"), F.when(F.col("type") == "header", "includes").otherwise("imports").alias("relation"), "label", lit(0, "phase"), "file_ord", "path", "ord")
     inside = F.col("src") != ""
     holds = info.select("repo_id", paths.dirname(p).alias("src"), p.alias("dst")).unionByName(dirs.select("repo_id", paths.dirname(F.col("id")).alias("src"), F.col("id").alias("dst"))).filter(inside)
-    holds = holds.select("repo_id", "src", "dst", lit("contains", "relation"), none, lit(1, "phase"), F.col("src").alias("path"), lit(0, "ord"))
+    holds = holds.select("repo_id", "src", "dst", lit("contains", "relation"), none, lit(1, "phase"), lit(0, "file_ord"), F.col("src").alias("path"), lit(0, "ord"))
     all_edges = exports.unionByName(uses).unionByName(outer).unionByName(holds).select("repo_id", "src", "dst", "relation", "label", *at)
     edges = all_edges.groupBy("repo_id", "src", "dst").agg(F.max_by("relation", seq).alias("relation"), F.max_by("label", F.when(F.col("label").isNotNull(), seq)).alias("label"))
     return nodes, edges

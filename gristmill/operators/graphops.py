@@ -50,6 +50,38 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("repo_id", "id").join(agg, ["repo_id", "id"], "left").fillna(0)
 
 
+def in_order(nodes: DataFrame) -> DataFrame:
+    """(repo_id, id, position): nodes in the order in which a builder that goes file by file writes them: each file, then folders, then the rest, by path."""
+    phase = F.when(F.col("type") == "file", 0).when(F.col("type") == "directory", 2).otherwise(1)
+    return nodes.select("repo_id", "id", F.struct(phase.alias("phase"), "id").alias("position"))
+
+
+def neighbour_labels(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+    """(repo_id, id, importers, folders): labels of a node's neighbours, as a hover shows them: those that import it and those that hold it or that it holds.
+
+    A hover shows the first ``most`` of each by id; the counts of all are those of ``degrees``.  Lists are cut in each
+    salted part before they meet, so that no hub is collected.
+    """
+    n = neighbours(edges).withColumn("kind", F.when((F.col("direction") == "in") & (F.col("relation") == "imports"), "importers").when(F.col("relation") == "contains", "folders")).filter("kind IS NOT NULL")
+    named = n.join(nodes.select("repo_id", F.col("id").alias("other"), F.substring_index("label", "\n", 1).alias("label")), ["repo_id", "other"])
+    first = F.slice(F.array_sort(F.collect_list(F.struct("other", "label"))), 1, most).alias("b")
+    part = named.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(64))).groupBy("repo_id", "id", "kind", "salt").agg(first)
+    met = part.select("repo_id", "id", "kind", F.explode("b").alias("x")).select("repo_id", "id", "kind", "x.*").groupBy("repo_id", "id", "kind").agg(first)
+    text = F.array_join(F.transform("b", lambda x: x["label"]), ", ")
+    lists = met.groupBy("repo_id", "id").agg(F.max(F.when(F.col("kind") == "importers", text)).alias("importers"), F.max(F.when(F.col("kind") == "folders", text)).alias("folders"))
+    return nodes.select("repo_id", "id").join(lists, ["repo_id", "id"], "left").fillna("", ["importers", "folders"])
+
+
+def level_after(level: int, step: int) -> int:
+    """The level of the view after a step up or down; never below 1."""
+    return max(1, level + step)
+
+
+def toggled(types: tuple[str, ...], kind: str) -> tuple[str, ...]:
+    """The shown types with one switched on or off."""
+    return tuple(t for t in types if t != kind) if kind in types else (*types, kind)
+
+
 def ego(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> DataFrame:
     """(repo_id, id): seeds and their neighbours one step out, in or both ways."""
     n = neighbours(edges)
@@ -59,17 +91,17 @@ def ego(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> DataFram
     return s.unionByName(n.join(s, ["repo_id", "id"], "left_semi").select("repo_id", F.col("other").alias("id"))).distinct()
 
 
-def _fixpoint(seeds: DataFrame, step, limit: int = 1_000, compact: int = 8) -> DataFrame:
-    """All that ``step`` reaches from the seeds; each round joins the frontier alone, and lineage is cut by checkpoints of the frontiers."""
+def _fixpoint(seeds: DataFrame, step, compact: int = 8) -> DataFrame:
+    """All that ``step`` reaches from the seeds, however far; each round joins the frontier alone, and lineage is cut by checkpoints of the frontiers."""
     frontier = checkpointed(seeds.select("repo_id", "id").distinct())
     seen = frontier
-    for i in range(limit):
+    rounds = 0
+    while not frontier.isEmpty():
         new = step(frontier).select("repo_id", "id").distinct().join(seen, ["repo_id", "id"], "left_anti")
         frontier = checkpointed(new)
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
-        if (i + 1) % compact == 0:
+        rounds += 1
+        if rounds % compact == 0:
             seen = checkpointed(seen)
     return seen
 
@@ -136,6 +168,13 @@ def node_style(nodes: DataFrame) -> DataFrame:
     return nodes.select("repo_id", "id", "shape", size.cast("int").alias("size"), colour.alias("colour"))
 
 
+def edge_style(edges: DataFrame) -> DataFrame:
+    """A colour by relation."""
+    r = F.col("relation")
+    colour = F.when(r == "contains", "amber").when(r == "imports", "blue").when(r == "exports", "green").when(r == "includes", "violet").otherwise("grey")
+    return edges.select("repo_id", "src", "dst", colour.alias("colour"))
+
+
 def edge_width(count: Column) -> Column:
     """Width of an edge that stands for several."""
     return F.ln(count) + 1

@@ -24,14 +24,15 @@ QUERY_BLOCK = 4_096
 
 
 # ---------------------------------------------------------------- text of a file
-def _line(head: str, c: Column) -> Column:
-    return F.when(c.isNotNull(), F.concat(F.lit(head), F.array_join(c, ", "), F.lit("\n"))).otherwise("")
+def _line(head: str, c: Column, there: Column | None = None) -> Column:
+    return F.when((c if there is None else there).isNotNull(), F.concat(F.lit(head), F.array_join(c, ", "), F.lit("\n"))).otherwise("")
 
 
-def document_text(path: Column, content: Column, functions: Column, classes: Column, imports: Column) -> Column:
-    """A file as a document: path, content, then what is known of it, a line for each key that is there."""
+# The wordings of these texts are fixed values.
+def document_text(path: Column, content: Column, functions: Column, classes: Column, imports: Column, more: dict[str, Column] | None = None) -> Column:
+    """A file as a document: path, content, then what is known of it, a line for each key that is there; ``more`` are the keys of other languages, lists or values."""
     body = F.when(content.isNotNull(), F.concat(content, F.lit("\n\n"))).otherwise("")
-    return F.concat(F.lit("File: "), path, F.lit("\n\n"), body, _line("functions: ", functions), _line("classes: ", classes), _line("imports: ", imports))
+    return F.concat(F.lit("File: "), path, F.lit("\n\n"), body, _line("functions: ", functions), _line("classes: ", classes), _line("imports: ", imports), *(_line(f"{k}: ", F.array(c.cast("string")) if k in ("type", "name", "size", "error") else c, c) for k, c in (more or {}).items()))
 
 
 def context_entry(path: Column, content: Column, functions: Column, classes: Column, imports: Column) -> Column:
@@ -226,6 +227,16 @@ def cosine_above(vectors: DataFrame, queries: DataFrame, least: float, id_col: s
     return _by_block(vectors, queries, task, "query_id long, id long, cosine double", id_col, vec_col, query_id, query_vec, block).withColumnRenamed("id", id_col)
 
 
+DEFAULT_NEIGHBOURS = 4
+
+
+def stuffed(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS) -> DataFrame:
+    """(query_id, context): the ``k`` nearest chunks of each query, in order of distance, put into one text; of chunks (vec_id, chunk, embedding)."""
+    near = knn(chunks, queries, k).join(chunks.select("vec_id", "chunk"), "vec_id")
+    got = F.array_sort(F.collect_list(F.struct("rank", "chunk")))  # k rows of each query
+    return near.groupBy("query_id").agg(F.array_join(F.transform(got, lambda x: x["chunk"]), "\n\n").alias("context"))
+
+
 def relevance(similarity: Column, rank: Column) -> Column:
     """Similarity and centrality weighed; 0 for what is missing."""
     return WEIGHT_SIMILARITY * F.coalesce(similarity, F.lit(0.0)) + WEIGHT_CENTRALITY * F.coalesce(rank, F.lit(0.0))
@@ -250,5 +261,9 @@ def running_sum(df: DataFrame, group: str, order: str, value: str, out: str = "r
 
 
 def packed(entries: DataFrame, group: str, order: str, text: str, budget: Column) -> DataFrame:
-    """Entries in order until the first that would exceed the budget of their group; later ones are not tried."""
-    return running_sum(entries.withColumn("tokens", token_count(F.col(text))), group, order, "tokens").filter(F.col("running") <= budget)
+    """Entries in order until the first that would exceed the budget of their group; later ones are not tried.
+
+    Only (group, order, tokens) is laid out and summed; texts are joined to the few keys that are kept.  ``order`` is unique within a group.
+    """
+    kept = running_sum(entries.select(group, order, token_count(F.col(text)).alias("tokens")), group, order, "tokens").filter(F.col("running") <= budget)
+    return entries.join(kept, [group, order])

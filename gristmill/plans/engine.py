@@ -64,7 +64,7 @@ class Engine:
         else:
             q = retrieve.embedded(self.spark.createDataFrame([(0, question)], "query_id long, text string"), "text")
             docs = self.files.join(self.info.drop("size"), ["repo_id", "path"], "left")
-            text = retrieve.document_text(F.col("path"), F.col("content"), F.col("functions"), F.col("classes"), F.col("imports"))
+            text = retrieve.document_text(F.col("path"), F.col("content"), F.col("functions"), F.col("classes"), F.col("imports"), {k: F.col(k) for k in ("tags", "queries", "type", "name", "error")})
             keyed = docs.select(F.concat_ws("\x1f", "repo_id", "path").alias("k"), text.alias("text"))
             chunks = retrieve.embedded(retrieve.recursive_chunks(keyed, "k", "text").withColumn("vec_id", F.xxhash64("k", "chunk_idx")), "chunk")
             hits = retrieve.knn(chunks, q).join(chunks.select("vec_id", "k"), "vec_id")
@@ -88,12 +88,12 @@ class Engine:
         return rows.select("repo_id", "path", retrieve.overview_entry(c("path"), c("type"), c("functions"), c("classes"), c("content")).alias("entry"))
 
     def ask(self, question: str) -> str:
-        """The answer of the model to the assembled prompt; its context is bounded by the budget, its overview by as many entries."""
+        """The answer of the model to the assembled prompt; its context is bounded by the budget, its overview lists every file."""
         if self.files is None:
             raise ValueError("load files first")
         if not question.strip():
             raise ValueError("the question is blank")
         context = "\n\n".join(r.entry for r in self.context(question).orderBy("pos").collect())
-        overview = "".join(r.entry for r in self.overview().orderBy("repo_id", "path").limit(max(BUDGETS.values())).collect())
+        overview = "".join(r.entry for r in self.overview().orderBy("repo_id", "path").toLocalIterator())
         text = self.spark.range(1).select(chat.prompt(F.lit(overview), F.lit(context), F.lit(question))).first()[0]
         return _MODEL[0](chat.SYSTEM + "\n\n" + text)

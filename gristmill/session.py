@@ -22,12 +22,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def checkpointed(df, eager: bool = True):
     """The DataFrame with its lineage cut, in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where that is not set, as in tests, a temporary folder of this machine is used.
+    Only where that is not set and all of Spark is one process, as in tests, a temporary folder of this machine is used.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-"))
     return df.checkpoint(eager)
 
 

@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from gristmill import schema
 
 
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """The two tables, where they are not there yet."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.repositories (id BIGINT, repo_name STRING, metadata STRING) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.ast_data (id BIGINT, file_path STRING, ast_info STRING, repo_id BIGINT) USING parquet PARTITIONED BY (repo_id)")
+
+
+def save_context(context: DataFrame, folder: str) -> None:
+    """The snapshot of what is known of files; the last one stays, laid out by repository."""
+    context.write.mode("overwrite").partitionBy("repo_id").parquet(folder)
+
+
+def read_context(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def save_tables(repositories: DataFrame, file_info: DataFrame, folder: str) -> None:
     """Both tables in bulk; what is known of files is laid out by repository, so that a read of one touches only its part."""
     repositories.write.mode("append").parquet(f"{folder}/repositories")
