@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 12, 3
-#: Items whose patterns are sent to the tasks at once; more items are searched in further passes.
-ITEMS_AT_ONCE = 20_000
+#: Items, and characters of their texts, whose patterns are sent to the tasks at once, about; what is more is searched in further passes.
+ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 8_000_000
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb\U000e0000-\U000e007f]")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -96,12 +96,13 @@ def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_
     """
     rows = documents.select(F.col(doc_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
     wanted = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("t IS NOT NULL")
-    passes = max(1, -(-wanted.count() // items_at_once))
+    many, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    passes = max(1, -(-many // items_at_once), -(-chars // CHARS_AT_ONCE))
     parts = []
     schema = pa.schema([("__id", pa.int64()), ("__item", pa.int64())])
     for p in range(passes):
         block = wanted if passes == 1 else wanted.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == p)
-        held = [(r.i, r.t) for r in block.collect()]  # bounded by items_at_once, about
+        held = [(r.i, r.t) for r in block.collect()]  # bounded by items_at_once and CHARS_AT_ONCE, about
         tables: list[Tables] = []
 
         def run(batches, held=held, tables=tables):

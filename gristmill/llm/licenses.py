@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from gristmill.session import spread
 
-#: Licences of a catalogue that are trained at once and sent to tasks: a bound on the model, checked.
-CATALOG_LIMIT = 5_000
+#: Licences of a catalogue that are fetched, characters of their texts, and bytes of the weights: bounds on the model, checked; beyond them it is refused.
+CATALOG_LIMIT, CHARS_LIMIT, MODEL_BYTES = 5_000, 50_000_000, 512 << 20
 LEAST_PROBABILITY, LEAST_COVER, LEAST_RUN = 0.5, 0.62, 5
 NONE = ""
 
@@ -177,6 +177,8 @@ def train(catalog: list[dict], per: int = 16, epochs: int = 100, seed: int = 7)
     r, c, v = np.array(rows), np.array(cols), np.array(vals)
     y = np.array([k for _, k in samples])
     n, m, classes = len(samples), len(vocab), len(catalog) + 1
+    if m * classes * 8 > MODEL_BYTES:
+        raise ValueError("the catalogue's model would be larger than its bound")
     W, b = np.zeros((m, classes)), np.zeros(classes)
     onehot = np.eye(classes)[y]
     share = onehot / np.maximum(1, onehot.sum(0))[None, :]
@@ -351,7 +353,11 @@ def metadata_statements(metadata: str | None, r: Reader) -> set[str]:
 # ---------------------------------------------------------------- Spark
 def trained(catalog: DataFrame) -> Model:
     """The model of a catalogue table; at most ``CATALOG_LIMIT`` licences are fetched."""
-    rows = catalog.select("license_id", "title", "license_version", "notice", "body").filter(F.col("license_id").isNotNull()).limit(CATALOG_LIMIT + 1).collect()
+    held = catalog.select("license_id", "title", "license_version", "notice", "body").filter(F.col("license_id").isNotNull())
+    chars = held.agg(F.sum(F.coalesce(F.length("notice"), F.lit(0)) + F.coalesce(F.length("body"), F.lit(0)))).first()[0]
+    if (chars or 0) > CHARS_LIMIT:
+        raise ValueError("the catalogue's texts are longer than the model's bound")
+    rows = held.limit(CATALOG_LIMIT + 1).collect()
     return train([r.asDict() for r in rows])
 
 
