@@ -659,6 +659,39 @@ def prompt_assembly(spark, d):
     return m.join(o, "repo_id", "left").select("session_id", "turn", "text", F.md5(p).alias("prompt_md5"))
 
 
+@query()
+def prompt_routed(spark, d):
+    """Prompts of all questions.  For each repository and class of question the relevant nodes are routed, scored, packed under the
+    class's budget and joined to one context, once; the overview, of any length, stands in the prompt by a digest of all its entries."""
+    n, e = _graph(spark, d)
+    q = F.array(*[F.lit(float(x)) for x in retrieve._EMBEDDER[0](QUESTION)])
+    sim = retrieve.embedded(n.select("repo_id", "id"), "id", "a").select("repo_id", "id", vectors.cosine(F.col("a"), q).alias("sim"))
+    rank = graphops.pagerank(n, e, iterations=PAGERANK_ROUNDS, tol=None)
+    score = checkpointed(sim.join(rank, ["repo_id", "id"], "left").select("repo_id", "id", retrieve.relevance(F.col("sim"), F.col("score")).alias("score")))
+    best = lambda t: graphops.top_by_type(n.filter(F.col("type") == t), score, ("repo_id",)).select("repo_id", "id")
+    routes = {
+        "codebase": n.select("repo_id", "id"), "directory": graphops.descendants(e, best("directory")), "file": graphops.ego(e, best("file"), "out"),
+        "function": graphops.ego(e, best("import")), "general": _central(score).select("repo_id", "id"),
+    }
+    relevant = None
+    for cls, nodes in routes.items():
+        part = nodes.withColumn("query_class", F.lit(cls))
+        relevant = part if relevant is None else relevant.unionByName(part)
+    c = F.col
+    files = _context(spark, d)
+    entry = retrieve.context_entry(c("path"), c("content"), c("functions"), c("classes"), c("imports")).alias("entry")
+    rows = files.select("repo_id", c("path").alias("id"), entry).join(relevant, ["repo_id", "id"]).join(score, ["repo_id", "id"])
+    rows = rows.select(F.struct("repo_id", "query_class").alias("g"), F.struct((-F.round("score", 8)).alias("s"), "id").alias("pos"), "entry")
+    kept = retrieve.packed(rows, "g", "pos", "entry", tx.budget_of(c("g.query_class")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]), "\n\n")  # bounded by the budget
+    context = kept.groupBy("g").agg(text.alias("context"), F.count("*").alias("files"), F.sum("tokens").alias("tokens")).select("g.*", "context", "files", "tokens")
+    listed = files.select("repo_id", F.xxhash64(retrieve.overview_entry(c("path"), F.lit(None).cast("string"), c("functions"), c("classes"), c("content"))).alias("h"))
+    overview = listed.groupBy("repo_id").agg(F.md5(F.concat_ws(":", F.bit_xor("h").cast("string"), F.count("*").cast("string"))).alias("overview"))
+    m = _t(spark, d, "chat_messages").filter("role = 'human' AND text IS NOT NULL").select("session_id", "turn", "text", "repo_id").distinct().withColumn("query_class", tx.query_class(c("text")))
+    j = m.join(context, ["repo_id", "query_class"], "left").join(overview, "repo_id", "left")
+    return j.select("session_id", "turn", "text", "query_class", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.md5(chat.prompt(c("overview"), c("context"), c("text"))).alias("prompt_md5"))
+
+
 @query(
     r"""SELECT session_id, turn, role, CAST(line_no AS INT) AS line_no, CASE WHEN fence = 1 THEN 'fence' WHEN n % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^\d+\.\s') THEN 'item' ELSE 'paragraph' END AS kind, line
         FROM (SELECT *, sum(fence) OVER (PARTITION BY rid ORDER BY line_no) AS n FROM (SELECT *, CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END AS fence FROM (
